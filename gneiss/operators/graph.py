@@ -32,3 +32,93 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         seen = state
     return nodes.join(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+#: Edge types that graph queries may follow.
+QUERYABLE = ("calls", "field_refs", "belongs_to", "extends", "implements")
+
+
+def k_hop(edges: DataFrame, seeds: DataFrame, edge_type: str, hops: int) -> DataFrame:
+    """(node, hop): nodes within ``hops`` undirected steps over one edge type, with the fewest steps; seeds have 0.
+
+    The frontier grows by one join per hop; each hop is written once, so the plan stays flat.
+    """
+    if edge_type not in QUERYABLE:
+        raise ValueError(f"edge type {edge_type!r} can't be queried; one of {', '.join(QUERYABLE)}")
+    steps = edges.filter(F.col("edge_type") == edge_type).select(F.col("src_node").alias("a"), F.col("dst_node").alias("b"))
+    both = steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    seen = seeds.select(F.col(seeds.columns[0]).alias("node"), F.lit(0).alias("hop")).distinct()
+    frontier = seen
+    for hop in range(1, max(1, hops) + 1):
+        near = both.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        frontier = runtime.materialise(near.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop")), "hop")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def subgraph(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, edge_type: str, hops: int) -> DataFrame:
+    """(src_node, dst_node, edge_type): edges of the type between nodes within ``hops`` steps that the node table has."""
+    reached = k_hop(edges, seeds, edge_type, hops).select("node").join(nodes.select(F.col("node_id").alias("node")), "node", "left_semi")
+    inside = edges.filter(F.col("edge_type") == edge_type).join(reached.select(F.col("node").alias("src_node")), "src_node", "left_semi").join(reached.select(F.col("node").alias("dst_node")), "dst_node", "left_semi")
+    return inside.select("src_node", "dst_node", "edge_type").distinct()
+
+
+def degrees(nodes: DataFrame, edges: DataFrame, edge_type: str | None = None) -> DataFrame:
+    """(node_id, fan_in, fan_out) of every node, over all edges or one type; both ends are counted in one pass."""
+    kept = edges if edge_type is None else edges.filter(F.col("edge_type") == edge_type)
+    ends = kept.select(F.explode(F.array(F.struct(F.col("dst_node").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("src_node").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e"))
+    counted = ends.groupBy(F.col("e.node_id").alias("node_id")).agg(F.sum("e.i").alias("fan_in"), F.sum("e.o").alias("fan_out"))
+    zero = F.lit(0).cast("long")
+    return nodes.select("node_id").join(counted, "node_id", "left").select("node_id", F.coalesce("fan_in", zero).alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"))
+
+
+def edge_id(src: str, dst: str, kind: str):
+    return F.sha1(F.concat_ws("|", src, dst, kind))
+
+
+def build_nodes(symbols: DataFrame, occurrences: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node_id, symbol_id, node_type, path, signature): one node per symbol with a definition, at the first of them by
+    path, line and column; symbols of no node type are left out; types without an owner add their package's node."""
+    from gneiss.operators import text
+
+    places = occurrences.filter("role = 'definition'").join(documents.select("document_id", "relative_path"), "document_id")
+    first = places.groupBy("symbol_id").agg(F.min(F.struct(F.col("relative_path").alias("path"), "range_start_line", "range_start_col")).alias("at"))
+    typed = symbols.join(first, "symbol_id").withColumn("node_type", text.node_type("kind")).filter("node_type <> 'symbol'")
+    own = typed.select(text.node_id("symbol_id", F.col("node_type")).alias("node_id"), "symbol_id", "node_type", F.col("at.path").alias("path"), F.col("display_name").alias("signature"))
+    top = typed.filter("node_type in ('class', 'interface') and coalesce(trim(enclosing_symbol), '') = '' and coalesce(package, '') <> ''")
+    pkg = top.groupBy("package").agg(F.min("at.path").alias("path")).select(F.concat(F.lit("pkg:"), "package").alias("node_id"), F.concat(F.lit("pkg:"), "package").alias("symbol_id"), F.lit("package").alias("node_type"), "path", F.translate("package", "/", ".").alias("signature"))
+    return own.unionByName(pkg.join(own.select("node_id"), "node_id", "left_anti"))
+
+
+def belongs_to(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src_node, dst_node): child node to the node of its enclosing symbol."""
+    child = nodes.select(F.col("node_id").alias("src_node"), "symbol_id")
+    parent = nodes.select(F.col("node_id").alias("dst_node"), F.col("symbol_id").alias("enclosing_symbol"))
+    return symbols.select("symbol_id", "enclosing_symbol").filter("enclosing_symbol <> ''").join(child, "symbol_id").join(parent, "enclosing_symbol").select("src_node", "dst_node")
+
+
+def relation_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src_node, dst_node, edge_type, confidence): relations between known nodes, best confidence each; an ``implements``
+    from a type to something that is no interface is an ``extends``."""
+    best = relations.groupBy("src_node", "dst_node", "edge_type").agg(F.max("confidence").alias("confidence"))
+    s = nodes.select(F.col("node_id").alias("src_node"), F.col("node_type").alias("s_type"))
+    d = nodes.select(F.col("node_id").alias("dst_node"), F.col("node_type").alias("d_type"))
+    known = best.join(s, "src_node").join(d, "dst_node")
+    kind = F.when((F.col("edge_type") == "implements") & (F.col("d_type") != "interface") & F.col("s_type").isin("class", "interface"), "extends").otherwise(F.col("edge_type"))
+    return known.select("src_node", "dst_node", kind.alias("edge_type"), "confidence").groupBy("src_node", "dst_node", "edge_type").agg(F.max("confidence").alias("confidence"))
+
+
+def occurrence_edges(occurrences: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src_node, dst_node, edge_type, n, weight, confidence): references to methods and fields inside a method's span."""
+    from gneiss.operators.symbols import innermost
+
+    typed = nodes.filter("node_type in ('method', 'field')").select("symbol_id", "node_id", "node_type")
+    refs = occurrences.filter("role <> 'definition'").join(typed, "symbol_id").select("document_id", F.col("id").alias("point_id"), F.col("range_start_line").alias("line"), F.col("range_start_col").alias("col"), F.col("node_id").alias("dst_node"), F.col("node_type").alias("dst_type"))
+    has = (F.col("enclosing_range_start_line") >= 0) & (F.col("enclosing_range_end_line") >= F.col("enclosing_range_start_line"))
+    spans = occurrences.filter("role = 'definition'").filter(has).join(typed.filter("node_type = 'method'"), "symbol_id").select("document_id", F.col("node_id").alias("span_id"), F.col("enclosing_range_start_line").alias("sl"), F.col("enclosing_range_start_col").alias("sc"), F.col("enclosing_range_end_line").alias("el"), F.col("enclosing_range_end_col").alias("ec"))
+    inner = innermost(refs.select("document_id", "point_id", "line", "col"), spans)
+    found = refs.join(inner, ["document_id", "point_id"]).filter("span_id <> dst_node")
+    kind = F.when(F.col("dst_type") == "method", "calls").otherwise("field_refs")
+    n = found.groupBy(F.col("span_id").alias("src_node"), "dst_node", kind.alias("edge_type")).agg(F.count("*").alias("n"))
+    weight = F.least(F.lit(1.0), 0.35 + 0.1 * F.col("n"))
+    return n.select("*", F.round(weight, 6).alias("weight"), F.round(F.least(F.lit(0.95), weight), 6).alias("confidence"))
