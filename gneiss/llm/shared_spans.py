@@ -6,7 +6,8 @@ same place in every record that holds the stretch.  *Extend*: all stretches of `
 one anchor occurrence form a run around it, which is widened to both sides as far as the anchor stays the
 least.  Runs are first compared whole by hash; runs that agree with another record's are shared to their
 full width.  The other runs (next to an edit, or unique) are opened: every stretch of a run whose anchor
-gram also occurs in another record is compared on its own, and only there.  Neighbouring shared
+gram also occurs in another record is compared on its own, among the runs of that anchor; an anchor with very many
+runs is spread by stretch instead.  Neighbouring shared
 stretches merge into *maximal* spans.  Nothing is compared in pairs: every step groups equal hashes with
 map-side combining, so a header held by a third of all records costs one row per record and task.
 
@@ -33,11 +34,15 @@ SPAN = 300
 SEED = 48
 #: Characters hashed at once.
 CHUNK_CHARS = 1 << 20
+#: An anchor with more runs than this is compared stretch by stretch, spread over all tasks, instead of in one group.
+GROUP_RUNS = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 _RUNS = pa.schema([("run", pa.int64()), ("anchor", pa.int64()), ("rec", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("width", pa.int32())])
 
+_OPENED = pa.schema([("key", pa.int64()), ("rec", pa.int64()), ("start", pa.int32()), ("width", pa.int32()), ("slice", pa.string())])
+
 
 class _Powers:
     """Powers of the base and of its inverse modulo 2^64, grown on demand."""
@@ -140,25 +145,92 @@ def _runs(lead: DataFrame, span: int, seed: int) -> DataFrame:
     return lead.mapInArrow(find, "run long, anchor long, rec long, id long, start int, width int")
 
 
-def _opened(lead: DataFrame, runs: DataFrame, span: int) -> DataFrame:
-    """(stretch, rec, start): one row per stretch of the runs given per record as arrays."""
+def _opened(docs: DataFrame, runs: DataFrame, span: int) -> DataFrame:
+    """(key, rec, start, width, slice): the characters of each run under its anchor, or, for an anchor with more than
+    GROUP_RUNS runs, one row per stretch under the stretch's hash, without characters."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rec, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                few = [x for x in spans if x["n"] <= GROUP_RUNS]
+                if few:
+                    slices = [text[x["start"] : x["start"] + x["width"] + span - 1] for x in few]
+                    yield textcore.to_batch({"key": [x["anchor"] for x in few], "rec": [rec] * len(few), "start": [x["start"] for x in few], "width": [x["width"] for x in few], "slice": slices}, _OPENED)
+                many = [x for x in spans if x["n"] > GROUP_RUNS]
+                if not many:
+                    continue
                 points = textcore.code_points(text)
-                start = np.array([x["start"] for x in spans], np.int64)
-                width = np.array([x["width"] for x in spans], np.int64)
+                start, width = np.array([x["start"] for x in many], np.int64), np.array([x["width"] for x in many], np.int64)
                 q = np.repeat(start - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
                 for k in range(0, len(q), 1 << 18):
                     part = q[k : k + (1 << 18)]
                     low = int(part.min())
-                    roll = Rolling(points[low : int(part.max()) + span])
-                    found = roll.stretches(part - low, part - low + span)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(part), rec, np.int64)), pa.array(part.astype(np.int32))], names=["stretch", "rec", "start"])
+                    found = Rolling(points[low : int(part.max()) + span]).stretches(part - low, part - low + span)
+                    n = len(part)
+                    yield textcore.to_batch({"key": found.view(np.int64), "rec": np.full(n, rec, np.int64), "start": part, "width": np.ones(n, np.int32), "slice": pa.nulls(n, pa.string())}, _OPENED)
+
+    by_record = runs.groupBy("rec", "id").agg(F.collect_list(F.struct("anchor", "start", "width", "n")).alias("spans"))
+    return docs.join(by_record, ["id", "rec"]).select("rec", "text", "spans").mapInArrow(expand, "key long, rec long, start int, width int, slice string")
+
+
+def shared_in_groups(keys: np.ndarray, recs: np.ndarray, starts: np.ndarray, slices: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rec, start, width) of the stretches that two records hold under one key, neighbours joined."""
+    sizes = np.array([len(x) for x in slices], np.int64)
+    width = sizes - span + 1
+    roll = Rolling(textcore.code_points("".join(slices)))
+    row = np.repeat(np.arange(len(slices)), width)
+    inner = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(width)[:-1]], width)
+    at = np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], width) + inner
+    # The key is part of what must agree; so is, by the selection of anchors, the place of the stretch.
+    found = textcore.mix64(roll.stretches(at, at + span) + textcore.mix64(keys[row].view(np.uint64)))
+    order = np.argsort(found, kind="stable")
+    new = np.r_[True, found[order][1:] != found[order][:-1]]
+    group = np.cumsum(new) - 1
+    first = np.nonzero(new)[0]
+    rec = recs[row]
+    mixed = np.minimum.reduceat(rec[order], first) != np.maximum.reduceat(rec[order], first)
+    shared = np.zeros(len(row), bool)
+    shared[order] = mixed[group]
+    pick = np.nonzero(shared)[0]
+    if not len(pick):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    begin = np.r_[True, (pick[1:] != pick[:-1] + 1) | (row[pick][1:] != row[pick][:-1])]
+    lead = np.nonzero(begin)[0]
+    return rec[pick[lead]], starts[row[pick[lead]]] + inner[pick[lead]], np.diff(np.r_[lead, len(pick)])
+
+
+def _compared(opened: DataFrame, span: int) -> DataFrame:
+    """(rec, start, width): shared stretches of the runs that came with their characters, anchor by anchor."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        chars = 0
+
+        def flush(rows: pa.Table) -> pa.RecordBatch:
+            keys, recs, starts = (rows.column(k).to_numpy().astype(np.int64) for k in range(3))
+            rec, start, width = shared_in_groups(keys, recs, starts, rows.column(3).to_pylist(), span)
+            return pa.RecordBatch.from_arrays([pa.array(rec), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32))], names=["rec", "start", "width"])
 
-    by_record = runs.groupBy("rec", "id").agg(F.collect_list(F.struct("start", "width")).alias("spans"))
-    return lead.join(by_record, ["id", "rec"]).select("rec", "text", "spans").mapInArrow(expand, "stretch long, rec long, start int")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            chars += batch.nbytes
+            if chars < CHUNK_CHARS:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = rows.column(0).to_numpy()
+            # The last key may go on in the next batch.
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield flush(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+                chars = sum(b.nbytes for b in held)
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    sorted_rows = opened.filter("slice is not null").select("key", "rec", "start", "slice").repartition("key").sortWithinPartitions("key")
+    return sorted_rows.mapInArrow(compare, "rec long, start int, width int")
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -182,17 +254,18 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Anchors that another record also has, but whose run differs there.  Of the records with one such run two
     # stand for all of them, so that it meets its equals in any third record.
     row = F.struct("rec", "id", "start", "width")
-    rest = runs.join(_shared(runs, "anchor"), "anchor", "left_semi").groupBy("run", "anchor").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    anchors = runs.groupBy("anchor").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", "n")
+    rest = runs.join(anchors, "anchor").groupBy("run", "anchor").agg(F.min(row).alias("lo"), F.max(row).alias("hi"), F.max("n").alias("n"))
     broken = (
         rest.join(whole.withColumn("all", F.lit(True)), "run", "left")
-        .select("anchor", F.coalesce("all", F.lit(False)).alias("all"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"))
-        .select("anchor", "all", "r.*")
+        .select("anchor", "n", F.coalesce("all", F.lit(False)).alias("all"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"))
+        .select("anchor", "n", "all", "r.*")
     )
     broken = runtime.materialise(broken, "broken")
     needed = broken.filter("not all").select("anchor").distinct()
-    opened = _opened(keyed, broken.join(needed, "anchor", "left_semi"), span)
-    opened = runtime.materialise(opened, "opened")
-    single = opened.join(_shared(opened, "stretch"), "stretch", "left_semi").select("rec", "start", F.lit(1).alias("width"))
+    opened = runtime.materialise(_opened(keyed, broken.join(needed, "anchor", "left_semi"), span), "opened")
+    hot = opened.filter("slice is null").select("key", "rec", "start", "width")
+    single = hot.join(_shared(hot, "key"), "key", "left_semi").select("rec", "start", "width").unionByName(_compared(opened, span))
     covered = _merged(kept.unionByName(single), span)
     firsts = records.join(copies.select("rec"), "rec", "left_anti").select("rec", "id")
     return firsts.join(covered, "rec").select(F.col("id").alias("doc_id"), "start", "length").unionByName(copied)
