@@ -1 +1 @@
-
+"""Readers of index lines and source trees."""
