@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 from gneiss import runtime
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+#: Links that one task may finish.
+LOCAL_LINKS = 20_000
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, component) with the least node of each undirected component, by alternating large and small stars.
 
     Every round links nodes to the least node seen from their neighbourhood, which halves path lengths; rounds end when
-    the links no longer change.  Links are combined by node before each shuffle.
+    the links no longer change, or when at most ``local_links`` (a fixed bound) are left, which one task finishes by
+    union-find with the same result.  Links are combined by node before each shuffle.  Null ends are left out.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = runtime.materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
     links = runtime.materialise(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    kind = links.schema["a"].dataType.simpleString()
     seen = None
     while True:
+        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if state["n"] <= local_links:
+            links = links.coalesce(1).mapInArrow(_union_find, f"a {kind}, b {kind}")
+            break
+        if seen == state:
+            break
+        seen = state
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: every larger neighbour of a node links to the node's least neighbour.
@@ -27,13 +40,35 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
         small = large.join(low, large["b"] == low["n"]).select(F.col("m"), F.explode(F.array("a", "b")).alias("b")).filter("b <> m").select(F.col("m").alias("a"), "b").distinct()
         links = runtime.materialise(small, "links")
-        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if seen == state:
-            break
-        seen = state
     return nodes.join(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _union_find(batches):
+    """Links (a, b) of one task as (root, node) for every node that is not its own root."""
+    import pyarrow as pa
+
+    up: dict = {}
+
+    def root(x):
+        path = []
+        while up.setdefault(x, x) != x:
+            path.append(x)
+            x = up[x]
+        for p in path:
+            up[p] = x
+        return x
+
+    for batch in batches:
+        kind = batch.schema.types[0]
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if up:
+        rows = [(root(x), x) for x in list(up) if root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], kind), pa.array([x for _, x in rows], kind)], names=["a", "b"])
+
+
 #: Edge types that graph queries may follow.
 QUERYABLE = ("calls", "field_refs", "belongs_to", "extends", "implements")
 

@@ -92,7 +92,7 @@ def test_bm25_equals_sqlite(spark):
     con.execute("create virtual table t using fts5(c)")
     con.executemany("insert into t(rowid, c) values (?, ?)", enumerate(docs, 1))
     for query in ("parse_options", "parse options", "options options", "cafe", "filler here"):
-        match = " or ".join(f'"{w}"' for w in query.split())
+        match = " OR ".join(f'"{w}"' for w in query.split())
         want = {r: -s for r, s in con.execute("select rowid, bm25(t) from t where t match ?", (match,))}
         got = {r["id"]: r["score"] for r in text.bm25(spark.createDataFrame(list(enumerate(docs, 1)), "id long, c string"), "id", ["c"], query).collect()}
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want), query
