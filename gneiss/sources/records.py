@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.operators.java import owner_of
+
 SCHEMA = (
     "type string, repo string, commit_hash string, relative_path string, language string, occurrence_count int, content string, symbol_id string, display_name string, kind string, package string, "
     "signature_hash string, enclosing_symbol string, range array<int>, enclosing_range array<int>, role string, syntax_kind string, from_symbol string, to_symbol string, relation_type string, "
@@ -48,7 +50,7 @@ def of_type(records: DataFrame, kind: str) -> DataFrame:
         return own.filter("relative_path is not null").select(document, "repo", "commit_hash", "relative_path", F.coalesce("language", F.lit("")).alias("language"), F.coalesce("occurrence_count", F.lit(0)).alias("occurrence_count"), F.coalesce("content", F.lit("")).alias("content"))
     if kind == "symbol":
         name, what = F.coalesce("display_name", "symbol_id"), F.coalesce("kind", F.lit("unknown"))
-        return own.filter("symbol_id is not null").select("symbol_id", name.alias("display_name"), what.alias("kind"), "package", enclosing().alias("enclosing_symbol"), "language", "signature_hash", F.sha1(F.concat_ws("|", "symbol_id", name, what)).alias("symbol_fingerprint"))
+        return own.filter("symbol_id is not null").select("symbol_id", name.alias("display_name"), what.alias("kind"), "package", owner_of("symbol_id", "enclosing_symbol").alias("enclosing_symbol"), "language", "signature_hash", F.sha1(F.concat_ws("|", "symbol_id", name, what)).alias("symbol_fingerprint"))
     if kind == "occurrence":
         return own.filter("relative_path is not null and symbol_id is not null").select(document, "symbol_id", *_range("range"), F.coalesce("role", F.lit("unknown")).alias("role"), "syntax_kind", *_enclosing("enclosing_range"))
     if kind == "relation":
@@ -56,14 +58,6 @@ def of_type(records: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown record type {kind!r}; one of {', '.join(TYPES)}")
 
 
-def enclosing():
-    """The stated owner; else, for a global symbol with something after its first '#', the text up to it."""
-    s = F.col("symbol_id")
-    at = F.instr(s, "#")
-    guess = F.when(~s.startswith("local ") & (at > 0) & (at < F.length(s)), F.substring(s, F.lit(1), at)).otherwise("")
-    return F.when(F.coalesce("enclosing_symbol", F.lit("")) != "", F.col("enclosing_symbol")).otherwise(guess)
-
-
 def source_tree(spark: SparkSession, root: str, suffix: str = "java") -> DataFrame:
     """(path, content) of every file below the root with the suffix."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(root)
