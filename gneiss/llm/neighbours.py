@@ -2,8 +2,9 @@
 
 * The coarse centroids and the residual codebooks are fitted on a hash-ordered sample of at most
   ``SAMPLE_PER_LIST`` vectors per list and ``MOST_LISTS`` lists; every vector is then assigned and coded.
-* Each list is searched against the lists whose centroids are nearest to its own.  Only codes (one byte per
-  subspace) travel to it.  Asymmetric distance tables - exact query times codebook - score them.
+* Each query probes the lists whose centroids are nearest to it.  The queries of one list are searched together over
+  the union of their probes; the lists of that union travel to them packed as codes (one byte per subspace).
+  Asymmetric distance tables - exact query times codebook - score them.
 * The best ``RERANK`` candidates of each query are reranked with the exact vectors by cosine, rounded to 9 decimals,
   ties in favour of the smaller node id.
 
@@ -34,20 +35,21 @@ from gneiss import runtime
 PER_LIST = 200
 MOST_LISTS = 4096
 SAMPLE_PER_LIST = 32
-#: Lists searched from each list, candidates reranked per query.
-PROBES = 48
-RERANK = 48
+#: Lists probed by each query, candidates reranked per query.
+PROBES = 16
+RERANK = 64
 #: Dimensions per subspace and codes per subspace.
 SUB = 4
 CODES = 256
-#: Queries and codes in one block of work.
+#: Queries and codes in one block of work, and codes of a list packed in one row.
 QUERY_BLOCK = 1024
-CODE_BLOCK = 1 << 16
+CODE_BLOCK = 1 << 17
+PACK = 4096
 #: Blocks in which the ids of one vector are ranked.
 SALTS = 16
 ROUND = 9
 
-_INDEX = "key long, list int, code binary, vec binary, ids array<string>"
+_INDEX = "key long, list int, probes array<int>, code binary, vec binary, ids array<string>"
 
 
 def parse_vector(text: str | None, dim: int) -> np.ndarray | None:
@@ -90,22 +92,26 @@ def nearest(data: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Coarse centroids, residual codebooks, and for each list the lists searched from it."""
+    """Coarse centroids and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, lists: int, probes: int) -> None:
+    def __init__(self, sample: np.ndarray, lists: int) -> None:
         self.centres = kmeans(sample, lists, 12, 1)
         rest = sample - self.centres[nearest(sample, self.centres)]
         self.cuts = list(range(0, sample.shape[1], SUB))
         k = min(CODES, len(sample))
         self.books = [kmeans(rest[:, c : c + SUB], k, 8, 2 + c) for c in self.cuts]
-        gap = ((self.centres[:, None, :] - self.centres[None, :, :]) ** 2).sum(axis=2) if lists <= 512 else np.stack([((self.centres - c) ** 2).sum(axis=1) for c in self.centres])
-        self.probes = np.argsort(gap, axis=1, kind="stable")[:, : min(probes, lists)]
 
     def encode(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         home = nearest(data, self.centres)
         rest = data - self.centres[home]
         return home, np.stack([nearest(rest[:, c : c + SUB], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def probes(self, data: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest lists of each vector."""
+        half = (self.centres * self.centres).sum(axis=1) / 2
+        n = min(n, len(half))
+        return np.argpartition(half - data @ self.centres.T, n - 1, axis=1)[:, :n].astype(np.int32)
+
     def scores(self, queries: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric inner products of exact queries and coded vectors."""
         q = queries.astype(np.float32)
@@ -148,57 +154,55 @@ def nearest_nodes(table: DataFrame, vec_col: str, dim: int, k: int = 5, node_col
     fitted = whole.select("vec").orderBy(F.xxhash64("key")).limit(max(1024, lists * SAMPLE_PER_LIST)).collect()
     if not fitted:
         return spark.createDataFrame([], "node string, neighbour string, cosine double, rank int")
-    model = Model(np.frombuffer(b"".join(r["vec"] for r in fitted)).reshape(-1, dim), lists, probes)
+    model = Model(np.frombuffer(b"".join(r["vec"] for r in fitted)).reshape(-1, dim), lists)
     sent = spark.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vecs = batch.column(1).to_pylist()
             if vecs:
-                home, codes = sent.value.encode(np.frombuffer(b"".join(vecs)).reshape(-1, dim))
+                data = np.frombuffer(b"".join(vecs)).reshape(-1, dim)
+                home, codes = sent.value.encode(data)
+                near = pa.array(list(sent.value.probes(data, probes)), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), batch.column(2)], names=["key", "list", "code", "vec", "ids"]
+                    [batch.column(0), pa.array(home.astype(np.int32)), near, pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), batch.column(2)], names=["key", "list", "probes", "code", "vec", "ids"]
                 )
 
     index = runtime.materialise(whole.select("key", "vec", "ids").mapInArrow(encode, _INDEX), "index")
-    size = np.zeros(lists, np.int64)
-    for r in index.groupBy("list").count().collect():
-        size[r["list"]] = r["count"]
-    q_blocks = np.maximum(1, -(-size // QUERY_BLOCK))
-    c_blocks = np.maximum(1, -(-size[model.probes].sum(axis=1) // CODE_BLOCK))
-    # Where each list's codes go: (searching list, its query blocks, its code blocks).
-    sources: list[list[tuple[int, int, int]]] = [[] for _ in range(lists)]
-    for at, probed in enumerate(model.probes.tolist()):
-        for source in probed:
-            sources[source].append((at, int(q_blocks[at]), int(c_blocks[at])))
-    routes = spark.sparkContext.broadcast((sources, q_blocks, c_blocks))
-    block_c = "list int, qb int, cb int, key long, home int, code binary"
-
-    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, nq, nc = routes.value
-        for batch in batches:
-            rows = [(l, key % int(nq[l]), cb, key, v) for key, l, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for cb in range(int(nc[l]))]
-            yield _rows(rows, [("list", pa.int32()), ("qb", pa.int32()), ("cb", pa.int32()), ("key", pa.int64()), ("vec", pa.binary())])
-
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = routes.value[0]
-        for batch in batches:
-            rows = [(at, qb, (key >> 20) % nc, key, l, c) for key, l, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for at, nq, nc in where[l] for qb in range(nq)]
-            yield _rows(rows, [("list", pa.int32()), ("qb", pa.int32()), ("cb", pa.int32()), ("key", pa.int64()), ("home", pa.int32()), ("code", pa.binary())])
+    size = index.groupBy(F.col("list").alias("home")).agg(F.count("*").alias("n"))
+    # One row per list that some query of another list probes, with the sizes; at most MOST_LISTS lists.
+    routes = runtime.materialise(index.select("list", F.explode("probes").alias("home")).distinct(), "routes")
+    blocks = routes.join(size, "home").groupBy("list").agg(F.sum("n").alias("codes")).join(size.select(F.col("home").alias("list"), "n"), "list")
+    blocks = blocks.select("list", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("nq"), F.ceil(F.col("codes") / CODE_BLOCK).cast("int").alias("nc"))
+    blocks = runtime.materialise(blocks, "blocks")
+    row = F.pmod(F.xxhash64("key"), F.col("nq")).cast("int")
+    asked = index.join(blocks, "list").select("list", row.alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb"), "key", "vec")
+
+    def pack_list(rows: pa.Table) -> pa.Table:
+        first = rows.column("home")[0].as_py()
+        return pa.table({"home": pa.array([first], pa.int32()), "part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "keys": [rows.column("key").to_numpy().tobytes()], "codes": [b"".join(rows.column("code").to_pylist())]})
+
+    sized = index.select(F.col("list").alias("home"), "key", "code").join(size, "home")
+    parts = sized.select("home", F.pmod(F.xxhash64("key", F.lit(3)), F.ceil(F.col("n") / PACK)).cast("int").alias("part"), "key", "code")
+    packed = parts.groupBy("home", "part").applyInArrow(pack_list, "home int, part int, keys binary, codes binary")
+    to = routes.join(blocks, "list").select(F.col("list").alias("g_list"), "home", "nc", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("g_qb"))
+    given = packed.join(to, "home").select("g_list", "g_qb", F.pmod(F.xxhash64("home", "part"), F.col("nc")).cast("int").alias("g_cb"), "home", "keys", "codes")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _rows([], _CANDIDATES, table=True)
-        q_keys, c_keys = left.column("key").to_numpy(), right.column("key").to_numpy()
+        q_keys = left.column("key").to_numpy()
         vecs = np.frombuffer(b"".join(left.column("vec").to_pylist())).reshape(-1, dim)
-        home = right.column("home").to_numpy()
-        coded = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(c_keys), -1)
+        keys = [np.frombuffer(k, np.int64) for k in right.column("keys").to_pylist()]
+        c_keys = np.concatenate(keys)
+        home = np.repeat(right.column("home").to_numpy(), [len(k) for k in keys])
+        coded = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(c_keys), -1)
         r = min(rerank, len(c_keys))
         out_q, out_c, out_s = [], [], []
-        for i in range(0, len(q_keys), 128):
-            s = sent.value.scores(vecs[i : i + 128], home, coded)
+        for i in range(0, len(q_keys), 64):
+            s = sent.value.scores(vecs[i : i + 64], home, coded)
             top = np.argpartition(-s, r - 1, axis=1)[:, :r] if r < len(c_keys) else np.tile(np.arange(r), (len(s), 1))
-            out_q.append(np.repeat(q_keys[i : i + 128], r))
+            out_q.append(np.repeat(q_keys[i : i + 64], r))
             out_c.append(c_keys[top].ravel())
             out_s.append(np.take_along_axis(s, top, axis=1).ravel())
         n_rows = sum(map(len, out_q))
@@ -213,11 +217,8 @@ def nearest_nodes(table: DataFrame, vec_col: str, dim: int, k: int = 5, node_col
             }
         )
 
-    asked = index.select("key", "list", "vec").mapInArrow(queries, "list int, qb int, cb int, key long, vec binary")
-    given = index.select("key", "list", "code").mapInArrow(codes, block_c)
-    given = given.toDF("g_list", "g_qb", "g_cb", "key", "home", "code")
     found = asked.groupBy("list", "qb", "cb").cogroup(given.groupBy("g_list", "g_qb", "g_cb")).applyInArrow(score, "list int, qb int, q long, c long, score float")
-    if int(c_blocks.max()) > 1:
+    if blocks.filter("nc > 1").limit(1).count():
         found = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("_r") <= rerank).drop("_r")
     found = runtime.materialise(found.select("list", "qb", "q", "c"), "candidates")
     exact = index.select("key", "vec", "ids")
