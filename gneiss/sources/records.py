@@ -60,5 +60,5 @@ def of_type(records: DataFrame, kind: str) -> DataFrame:
 
 def source_tree(spark: SparkSession, root: str, suffix: str = "java") -> DataFrame:
     """(path, content) of every file below the root with the suffix."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(root)
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(root)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("content"))

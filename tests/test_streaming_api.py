@@ -39,7 +39,7 @@ def test_event_windows_on_a_stream(spark, tmp_path):
 
 def test_records_of_all_types(spark):
     lines = [
-        {"type": "symbol", "symbol_id": "a/B#run().", "relative_path": "x"},
+        {"type": "symbol", "symbol_id": "scip-java maven a 1 a/B#run().", "relative_path": "x"},
         {"type": "symbol", "symbol_id": "local 4", "display_name": "v", "kind": "Variable", "enclosing_symbol": "a"},
         {"type": "occurrence", "relative_path": "x", "symbol_id": "s", "range": [1, 2, 3], "repo": "r", "commit_hash": "c"},
         {"type": "occurrence", "relative_path": "x", "symbol_id": "s", "range": [1, 2, 3, 4], "enclosing_range": [1, 0, 9, 1], "role": "definition"},
@@ -48,7 +48,7 @@ def test_records_of_all_types(spark):
     ]
     parsed = records.parse_lines(spark.createDataFrame([(json.dumps(x),) for x in lines] + [("nonsense",), ("",), (None,)], "value string"))
     symbols = {r.symbol_id: r for r in records.of_type(parsed, "symbol").collect()}
-    assert symbols["a/B#run()."].enclosing_symbol == "a/B#" and symbols["a/B#run()."].kind == "unknown" and symbols["local 4"].enclosing_symbol == "a"
+    assert symbols["scip-java maven a 1 a/B#run()."].enclosing_symbol == "scip-java maven a 1 a/B#" and symbols["scip-java maven a 1 a/B#run()."].kind == "unknown" and symbols["local 4"].enclosing_symbol == "a"
     found = sorted(tuple(r)[2:6] for r in records.of_type(parsed, "occurrence").collect())
     assert found == [(1, 2, 1, 3), (1, 2, 3, 4)]
     assert [tuple(r)[:4] for r in records.of_type(parsed, "relation").collect()] == [("a", "b", "references", 1.0)]
