@@ -19,8 +19,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     the links no longer change, or when at most ``local_links`` (a fixed bound) are left, which one task finishes by
     union-find with the same result.  Links are combined by node before each shuffle.  Null ends are left out.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    nodes = runtime.materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    pairs = runtime.materialise(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null"), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = runtime.materialise(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     kind = links.schema["a"].dataType.simpleString()
     seen = None
