@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gneiss import runtime
 from gneiss.operators import text
 
 WEIGHTS = {"structure": 0.5, "keyword": 0.2, "semantic": 0.3}
 
 
 def ranked(channel: DataFrame) -> DataFrame:
-    """Adds ``rank`` to a limited channel."""
-    return channel.select("result_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "result_id")).alias("rank"))
+    """Adds ``rank`` to a limited channel and writes its few rows once: fusion reads a channel several times."""
+    return runtime.materialise(channel.select("result_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "result_id")).alias("rank")), "channel")
 
 
 def _stacked(channels: dict[str, DataFrame]) -> DataFrame:

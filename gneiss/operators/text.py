@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss import runtime
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
@@ -19,16 +23,21 @@ def heuristic_tokens(column: Column | str) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.aggregate(per_line, F.lit(0), lambda a, x: a + x))
 
 
+_LETTER = r"[\p{L}\p{N}]"
+
+
+def index_text(column: Column | str) -> Column:
+    """Text as the full-text index sees it: lower-cased, accents folded for Latin-1 letters."""
+    return F.translate(F.lower(F.coalesce(_c(column), F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
 def index_terms(column: Column | str) -> Column:
-    """Terms of the full-text index: lower-cased runs of letters and digits, accents folded for Latin-1 letters; '_' separates."""
-    folded = F.translate(F.lower(F.coalesce(_c(column), F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Terms of the full-text index: runs of letters and digits of ``index_text``; '_' separates."""
+    return F.filter(F.split(index_text(column), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_phrases(text: str) -> list[list[str]]:
     """Phrases of a query: split at all but letters, digits and '_'; a phrase's words are split at '_' as the index does.  Repeats stay."""
-    import re
-
     words = [w for w in re.split(r"[^A-Za-z0-9_]+", text) if w]
     return [p for p in ([t for t in w.lower().split("_") if t] for w in words) if p]
 
@@ -36,20 +45,17 @@ def query_phrases(text: str) -> list[list[str]]:
 def bm25(docs: DataFrame, id_col: str, text_cols: list[str], query: str) -> DataFrame:
     """(id, score): BM25 of the query's phrases, OR-ed; records without any hit are left out.
 
-    The terms of a record stay one array: its length, and the frequency of each phrase by comparing slices, are computed
-    in the scan, so only one row of counts per matching record is shuffled.
+    One pass counts the terms of a record and the occurrences of each phrase by patterns, without building arrays; the counts
+    are written once, since the corpus statistics and the scores both need them.
     """
     phrases = query_phrases(query)
-    terms = docs.select(F.col(id_col).alias("id"), F.concat(*(index_terms(c) for c in text_cols)).alias("t"))
-
-    def frequency(phrase: list[str]) -> Column:
-        if len(phrase) == 1:
-            return F.size(F.filter("t", lambda x: x == F.lit(phrase[0])))
-        wanted = F.array(*map(F.lit, phrase))
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - len(phrase) + 1))
-        return F.size(F.filter(starts, lambda i: F.slice("t", i, len(phrase)) == wanted))
-
-    counted = terms.select("id", F.size("t").alias("dl"), *(frequency(p).alias(f"f{i}") for i, p in enumerate(phrases)))
+    # A phrase starts where its first word stands alone and the others follow, which also counts overlapping ones.
+    words = [[f"{re.escape(w)}(?!{_LETTER})" for w in p] for p in phrases]
+    gap = r"[^\p{L}\p{N}]+"
+    patterns = [f"(?<!{_LETTER})" + w[0] + (f"(?={gap}{gap.join(w[1:])})" if len(w) > 1 else "") for w in words]
+    folded = docs.select(F.col(id_col).alias("id"), F.concat_ws(" ", *(index_text(c) for c in text_cols)).alias("t"))
+    counted = folded.select("id", F.regexp_count("t", F.lit(f"{_LETTER}+")).alias("dl"), *(F.regexp_count("t", F.lit(p)).alias(f"f{i}") for i, p in enumerate(patterns)))
+    counted = runtime.materialise(counted, "counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(phrases))))
     hit = F.lit(False)
     score = F.lit(0.0)
@@ -115,8 +121,6 @@ def is_test_symbol(symbol: Column | str) -> Column:
 
 
 def asks_for_tests(query: str) -> bool:
-    import re
-
     return bool(query.strip()) and bool(re.search(TEST_WORDS, query))
 
 
@@ -170,8 +174,6 @@ def path_prior(a: Column | str, b: Column | str) -> Column:
 
 def intent_score(text: Column | str, query: str) -> Column:
     """2 for the whole query, 1 for each of its terms that the text contains."""
-    import re
-
     low = F.lower(F.coalesce(_c(text), F.lit("")))
     score = F.when(low.contains(query.lower()), 2.0).otherwise(0.0)
     for term in (t for t in re.split(r"[^A-Za-z0-9_]+", query.lower()) if t):
