@@ -11,7 +11,7 @@ computed in salted blocks, so a length that a third of all records have is no ho
 A record longer than the capacity is cut into full containers and a rest, which is packed like any other.
 
 Defined results: null, empty and zero-length records need no room and get container null; capacities that are null
-or not positive are left out; repeated rows are items of their own; extra columns are ignored; empty tables give empty results.
+or not positive are left out; repeated rows are items of their own; null ids are left out; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def pack(items: DataFrame, windows: list[tuple[int, int]], id_col: str = "doc_id
     'f<doc_id>.<piece>' for those that one piece fills alone.
     """
     windows = [(w, c) for w, c in windows if c is not None and c > 0]
-    sized = runtime.materialise(items.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("n")), "sizes")
+    sized = runtime.materialise(items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("n")), "sizes")
     parts = [_pack_one(sized, w, c) for w, c in windows]
     if not parts:
         return sized.limit(0).select(F.lit(0).alias("window_id"), "doc_id", F.lit(0).alias("piece"), F.lit(0).alias("n_pieces"), F.col("n").alias("tokens"), F.lit("").alias("container"))

@@ -14,7 +14,7 @@ map-side combining, so a header held by a third of all records costs one row per
 Equality of 64-bit hashes of (anchor, stretch) stands for equality of text.  Characters are code points.
 
 Defined results: null and short texts share nothing; records with an equal text are collapsed first and share
-it whole; repeated rows with one id are one record; extra columns are ignored; empty tables give empty results.
+it whole; repeated rows with one id are one record; null ids are left out; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -242,6 +242,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, start, length): the maximal stretches of each record, ``span`` characters or more, covered by
     stretches that occur in the text of another record; ``start`` counts code points from 0."""
     runtime.text_batches(docs.sparkSession)
+    docs = docs.filter(F.col(id_col).isNotNull())
     records = runtime.materialise(_texts(docs, id_col, text_col, span), "records")
     keyed = docs.filter(F.length(text_col) >= span).select(F.xxhash64(text_col, F.length(text_col)).alias("rec"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sizes = records.groupBy("rec").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.max("n_chars").alias("n_chars"))

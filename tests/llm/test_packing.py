@@ -44,6 +44,7 @@ def test_edges(spark):
     rows = [(1, None), (2, 0), (3, 1), (4, 10), (5, 11), (6, 25), (7, 10), (8, 30), (9, 10**6)]
     windows = [(1, 10)]
     list(check(rows, run(spark, rows, windows), windows))
+    assert len(run(spark, [*rows, (None, 25), (None, None)], windows)) == len(run(spark, rows, windows))
     assert run(spark, rows, [(1, None), (2, 0), (3, -4)]) == []
     assert run(spark, [], windows) == []
     assert run(spark, [], []) == []

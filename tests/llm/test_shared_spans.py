@@ -63,6 +63,7 @@ def test_copies_and_edges(spark):
     assert (4, 0, 500) in found and (7, 20, 200) in found
     assert got(spark, rows + rows, 40, 12) == found
     assert got(spark, [], 40, 12) == set()
+    assert got(spark, rows + [(None, text), (None, "z" * 90)], 40, 12) == found
     only = [(1, text), (1, text)]
     assert got(spark, only, 40, 12) == set()
 
