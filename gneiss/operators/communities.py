@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gneiss import runtime
 from gneiss.operators import text, vectors
 from gneiss.operators.graph import connected_components
 
@@ -22,17 +23,25 @@ def topology_pairs(edges: DataFrame) -> DataFrame:
     return calls.select(F.least("src_node", "dst_node").alias("a"), F.greatest("src_node", "dst_node").alias("b")).distinct()
 
 
+def semantic_pairs(intents: DataFrame, top: int = 20) -> DataFrame:
+    """(a, b, sim), a < b: one is among the ``top`` most similar of the other, over all of ``intents`` (node, vec)."""
+    near = vectors.nearest_vectors(intents, top)
+    pairs = near.groupBy(F.least("node", "neighbour").alias("a"), F.greatest("node", "neighbour").alias("b")).agg(F.max("sim").alias("sim"))
+    return runtime.materialise(pairs, "neighbours")
+
+
 def candidate_graph(pairs: DataFrame, topology: DataFrame, intents: DataFrame, paths: DataFrame, alpha: float = 0.5, beta: float = 0.4, gamma: float = 0.1, least: float = 0.05) -> DataFrame:
     """(a, b, weight): topology, similarity and common path of candidate pairs, kept above ``least``.
 
-    ``intents`` is (node, vec), ``paths`` is (node, path), ``pairs`` the semantic neighbours; topology pairs join them.
+    ``intents`` is (node, vec), ``paths`` is (node, path), ``pairs`` the semantic neighbours (a, b, sim); topology pairs
+    join them, and only those that are no neighbours fetch their vectors.
     """
-    every = pairs.select("a", "b").union(topology.select("a", "b")).distinct()
-    left = intents.join(paths, "node").select(F.col("node").alias("a"), F.col("vec").alias("va"), F.col("path").alias("pa"))
-    right = intents.join(paths, "node").select(F.col("node").alias("b"), F.col("vec").alias("vb"), F.col("path").alias("pb"))
+    more = topology.select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    more = more.join(intents.select(F.col("node").alias("a"), F.col("vec").alias("va")), "a").join(intents.select(F.col("node").alias("b"), F.col("vec").alias("vb")), "b")
+    every = pairs.select("a", "b", "sim").unionByName(more.select("a", "b", vectors.dot("va", "vb").alias("sim")))
     called = topology.select("a", "b", F.lit(1.0).alias("t"))
-    scored = every.join(left, "a").join(right, "b").join(called, ["a", "b"], "left")
-    weight = alpha * F.coalesce("t", F.lit(0.0)) + beta * F.greatest(F.lit(0.0), vectors.dot("va", "vb")) + gamma * text.path_prior("pa", "pb")
+    scored = every.join(paths.select(F.col("node").alias("a"), F.col("path").alias("pa")), "a").join(paths.select(F.col("node").alias("b"), F.col("path").alias("pb")), "b").join(called, ["a", "b"], "left")
+    weight = alpha * F.coalesce("t", F.lit(0.0)) + beta * F.greatest(F.lit(0.0), F.col("sim")) + gamma * text.path_prior("pa", "pb")
     return scored.select("a", "b", F.round(weight, 6).alias("weight")).filter(F.col("weight") > least)
 
 

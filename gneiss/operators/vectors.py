@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss import runtime
+
+#: Vectors and queries in one block of the exact neighbour search, and queries scored at a time.
+BLOCK = 2048
+QUERY_BLOCK = 8192
+STEP = 512
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product over the shorter length, in double; 0 for empty vectors.  Null for null."""
@@ -30,3 +41,101 @@ def missing(chunks: DataFrame, embedded: DataFrame, id_col: str = "chunk_id", ve
     """Chunks without a vector (of the version)."""
     have = embedded if version is None else embedded.filter(F.col("embedding_version") == version)
     return chunks.join(have.select(id_col), id_col, "left_anti")
+
+
+def nearest_vectors(vectors: DataFrame, k: int = 20) -> DataFrame:
+    """(node, neighbour, sim, rank): the k most similar other nodes of every node, exactly.
+
+    ``vectors`` is (node, vec), one row per node, unit vectors of one length.  The similarity is the inner product rounded
+    to 9 decimals, equal ones ranked by id.  Every block of queries meets all blocks of vectors in the order of their ids and
+    keeps its best ``k`` on the way, so a task holds two blocks and nothing is merged afterwards; work is quadratic.
+    """
+    rows = runtime.materialise(vectors.select("node", "vec").filter("node is not null and vec is not null"), "vectors")
+    n = rows.count()
+
+    def packed(size: int) -> DataFrame:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nodes: list[str] = []
+            vecs: list[list[float]] = []
+
+            def block(n: int) -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array([nodes[0]], pa.string()), pa.array([nodes[:n]], pa.list_(pa.string())), pa.array([np.array(vecs[:n], np.float64).tobytes()], pa.binary())], names=["first", "nodes", "data"]
+                )
+                del nodes[:n], vecs[:n]
+                return out
+
+            for batch in batches:
+                nodes += batch.column(0).to_pylist()
+                vecs += batch.column(1).to_pylist()
+                while len(nodes) >= size:
+                    yield block(size)
+            if nodes:
+                yield block(len(nodes))
+
+        ordered = rows.repartitionByRange(max(1, -(-n // size)), "node").sortWithinPartitions("node")
+        return runtime.materialise(ordered.mapInArrow(pack, "first string, nodes array<string>, data binary"), "blocks")
+
+    queries = packed(QUERY_BLOCK)
+    asked = queries.select(F.col("first").alias("q"), F.lit(0).alias("role"), "first", "nodes", "data")
+    met = packed(BLOCK).crossJoin(queries.select(F.col("first").alias("q"))).select("q", F.lit(1).alias("role"), "first", "nodes", "data")
+    # Without a number of partitions small blocks would be put together in one task.
+    width = max(1, min(-(-n // QUERY_BLOCK), runtime.shuffle_width(vectors.sparkSession)))
+    ordered = asked.unionByName(met).repartition(width, "q").sortWithinPartitions("q", "role", "first")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: _Best | None = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                nodes = np.array(batch.column(3)[i].as_py(), object)
+                data = np.frombuffer(batch.column(4)[i].as_py()).reshape(len(nodes), -1)
+                if batch.column(1)[i].as_py() == 0:
+                    if held is not None:
+                        yield held.rows()
+                    held = _Best(nodes, data, k)
+                else:
+                    held.meet(nodes, data)
+        if held is not None:
+            yield held.rows()
+
+    return ordered.mapInArrow(search, "node string, neighbour string, sim double, rank int")
+
+
+class _Best:
+    """The best ``k`` neighbours of a block of queries among the blocks met so far, which come in the order of their ids."""
+
+    def __init__(self, nodes: np.ndarray, data: np.ndarray, k: int) -> None:
+        self.nodes, self.data, self.k, self.at = nodes, data, k, {x: i for i, x in enumerate(nodes)}
+        self.sim = np.full((len(nodes), k), -np.inf)
+        self.name = np.full((len(nodes), k), None, object)
+
+    def meet(self, nodes: np.ndarray, data: np.ndarray) -> None:
+        own = np.array([self.at.get(x, -1) for x in nodes], np.int64)
+        for a in range(0, len(self.nodes), STEP):
+            b = min(a + STEP, len(self.nodes))
+            s = np.round(self.data[a:b] @ data.T, 9) + 0.0
+            here = np.nonzero((own >= a) & (own < b))[0]
+            s[own[here] - a, here] = -np.inf
+            # A later node never displaces an equal one, as ids only grow.
+            keep = s > self.sim[a:b, -1:]
+            if s.shape[1] > self.k:
+                keep &= s >= np.partition(s, -self.k, axis=1)[:, -self.k][:, None]
+            r, c = np.nonzero(keep)
+            if not len(r):
+                continue
+            row = np.r_[np.repeat(np.arange(b - a), self.k), r]
+            place = np.r_[np.tile(np.arange(self.k), b - a), self.k + c]
+            sim = np.r_[self.sim[a:b].ravel(), s[r, c]]
+            name = np.r_[self.name[a:b].ravel(), nodes[c]]
+            order = np.lexsort((place, -sim, row))
+            row = row[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, np.arange(b - a))[row]
+            order = order[rank < self.k]
+            self.sim[a:b] = sim[order].reshape(b - a, self.k)
+            self.name[a:b] = name[order].reshape(b - a, self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        r, c = np.nonzero(np.isfinite(self.sim))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.nodes[r], pa.string()), pa.array(self.name[r, c], pa.string()), pa.array(self.sim[r, c]), pa.array((c + 1).astype(np.int32))], names=["node", "neighbour", "sim", "rank"]
+        )

@@ -74,11 +74,9 @@ def _topology(s: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
-    f = _functions(s, d)
-    # Candidates by topology, and neighbours that share a caller or callee within their own package folder.
-    near = f.select("node", F.regexp_extract("path", "^(.*)/", 1).alias("dir"))
-    pairs = near.alias("x").join(near.alias("y"), (F.col("x.dir") == F.col("y.dir")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return com.candidate_graph(pairs, _topology(s, d), f.select("node", "vec"), f.select("node", "path"))
+    """Candidates by meaning (the 20 nearest of every function over all functions) and by calls; written once."""
+    f = materialise(_functions(s, d), "functions")
+    return materialise(com.candidate_graph(com.semantic_pairs(f.select("node", "vec")), _topology(s, d), f.select("node", "vec"), f.select("node", "path")), "candidates")
 
 
 def g_topology(s: SparkSession, d: str) -> DataFrame:
@@ -94,7 +92,8 @@ def g_communities(s: SparkSession, d: str) -> DataFrame:
 
 
 def g_cohesion(s: SparkSession, d: str) -> DataFrame:
-    return com.cohesion(com.communities(_graph(s, d), _functions(s, d), _LEAST), _graph(s, d))
+    g = _graph(s, d)
+    return com.cohesion(com.communities(g, _functions(s, d), _LEAST), g)
 
 
 def g_dominant_role(s: SparkSession, d: str) -> DataFrame:
@@ -108,20 +107,20 @@ def g_metrics(s: SparkSession, d: str) -> DataFrame:
     return m.agg(F.count("*").alias("n_communities"), F.sum((F.col("n") == 1).cast("long")).alias("n_singletons"), F.sum("n").alias("n_nodes"), F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("singleton_ratio"))
 
 
-def _runs(s: SparkSession, d: str) -> list[DataFrame]:
-    g, f = _graph(s, d), _functions(s, d)
+def _runs(s: SparkSession, d: str, g: DataFrame) -> list[DataFrame]:
+    f = _functions(s, d)
     return [com.communities(g, f, x) for x in (_LEAST, 0.45)]
 
 
 def g_stability(s: SparkSession, d: str) -> DataFrame:
-    return com.stability(*_runs(s, d))
+    return com.stability(*_runs(s, d, _graph(s, d)))
 
 
 def g_objective(s: SparkSession, d: str) -> DataFrame:
     """Per resolution: 0.55 * mean cohesion - 0.15 * share of singletons, best first."""
-    out = None
-    for x, m in zip((_LEAST, 0.45), _runs(s, d), strict=True):
-        k = com.cohesion(m, _graph(s, d)).agg(F.round(0.55 * F.avg("cohesion") - 0.15 * F.avg((F.col("size") == 1).cast("double")), 5).alias("objective")).select(F.lit(x).alias("resolution"), "objective")
+    g, out = _graph(s, d), None
+    for x, m in zip((_LEAST, 0.45), _runs(s, d, g), strict=True):
+        k = com.cohesion(m, g).agg(F.round(0.55 * F.avg("cohesion") - 0.15 * F.avg((F.col("size") == 1).cast("double")), 5).alias("objective")).select(F.lit(x).alias("resolution"), "objective")
         out = k if out is None else out.unionByName(k)
     return out
 
