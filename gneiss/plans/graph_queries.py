@@ -142,10 +142,9 @@ def j_neighbour_context(s: SparkSession, d: str) -> DataFrame:
     return ranked.select("src_node", "dst_node", "r", "signature", "intent_text")
 
 
-def _similarity(s: SparkSession, d: str) -> DataFrame:
-    """Mean of the five largest similarities of the functions without calls to all functions."""
+def _similarity(s: SparkSession, d: str, alone: DataFrame) -> DataFrame:
+    """Mean of the five largest similarities of the isolated nodes that have a vector to all functions."""
     f = _functions(s, d).select("node", "vec")
-    alone = _alone(s, d).select("node_id")
     q = f.join(alone.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("node").alias("node_id"), F.col("vec").alias("qv"))
     pairs = f.join(q, F.col("node") != F.col("node_id")).select("node_id", F.round(vectors.dot("vec", "qv"), 9).alias("sim"), "node")
     top = pairs.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("sim"), "node"))).filter("r <= 5")
@@ -153,19 +152,21 @@ def _similarity(s: SparkSession, d: str) -> DataFrame:
 
 
 def _alone(s: SparkSession, d: str) -> DataFrame:
-    """Functions of the intent table as the isolated set: those that call nothing."""
-    deg = graph.degrees(c.nodes(s, d), c.edges(s, d), "field_refs").filter("fan_in + fan_out = 0")
-    return c.nodes(s, d).select("node_id", "path").join(deg, "node_id").join(c.intents(s, d).select("node_id"), "node_id", "left_semi")
+    """Current nodes of every type that no edge of any type touches."""
+    deg = graph.degrees(c.nodes(s, d), c.edges(s, d)).filter("fan_in + fan_out = 0")
+    return c.nodes(s, d).select("node_id", "path").join(deg, "node_id")
 
 
 def g_isolated(s: SparkSession, d: str) -> DataFrame:
-    return com.isolated_types(_alone(s, d), _similarity(s, d))
+    alone = materialise(_alone(s, d), "alone")
+    return com.isolated_types(alone, _similarity(s, d, alone))
 
 
 def g_repair(s: SparkSession, d: str) -> DataFrame:
+    """Edges proposed for the isolated nodes classified as MissingEdge."""
     f = _functions(s, d)
-    alone = f.join(_alone(s, d).select(F.col("node_id").alias("node")), "node", "left_semi")
-    return com.repair_candidates(alone, f)
+    lost = g_isolated(s, d).filter("isolated_type = 'MissingEdge'")
+    return com.repair_candidates(f.join(lost.select(F.col("node_id").alias("node")), "node", "left_semi"), f)
 
 
 def g_singletons(s: SparkSession, d: str) -> DataFrame:
