@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python; texts can be long, so batches stay small.
 ARROW_ROWS = 1000
+#: Keys treated as heavy in a join, rows from which a key can be one, and parts of a heavy key.
+HEAVY_KEYS = 1024
+HEAVY_ROWS = 10_000
+SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for lineage cuts.
 
-    ``spark.checkpoint.dir`` is used when the session names one; otherwise (tests, notebooks)
-    the context's own checkpoint folder, created once in the local temporary directory.
+    ``spark.checkpoint.dir`` is used when the session names one, else the context's own checkpoint folder.  Where
+    neither is set, a local master (tests, notebooks) gets a temporary folder; a cluster is an error, since
+    a folder of the driver's machine would not be shared.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gneiss-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -51,6 +58,24 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def join_salted(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = SALTS, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``big`` joined to ``small`` on ``keys``, the heaviest keys of ``big`` cut into ``salts`` parts.
+
+    Heavy are the ``HEAVY_KEYS`` keys with the most rows, as far as these exceed ``heavy_rows``, so any other key has
+    less than a share of 1 / HEAVY_KEYS of the rows or few rows.  ``spread`` names columns of ``big`` whose hash chooses
+    the part; rows of ``small`` with a heavy key are repeated per part.  ``how``: inner, left, left_semi or left_anti.
+    """
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy_rows)
+    heavy = counts.orderBy(F.desc("_n")).limit(HEAVY_KEYS).collect()
+    if not heavy:
+        return big.join(small, keys, how)
+    named = big.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in heavy], counts.select(*keys).schema).withColumn("_heavy", F.lit(True))
+    parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(F.broadcast(named), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_heavy")
+    right = small.join(F.broadcast(named), keys, "left").withColumn("_salt", F.explode(parts)).drop("_heavy")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small enough for whole texts, unless the session asks for less."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
