@@ -44,12 +44,41 @@ def test_recall(spark):
     assert sum(len(set(got[n]) & set(want[n])) for n in want) / (5 * len(want)) >= 0.9
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def test_exact_setting_and_blocks(spark, monkeypatch):
+    """All probes and all candidates give the exact answer, whatever the sizes of groups and blocks."""
     rows = vectors(2, 500, 8)
-    whole = found(spark, rows, 8)
+    want = truth(rows, 8, 5)
+    assert found(spark, rows, 8, probes=None, rerank=None) == want
+    monkeypatch.setattr(nb, "GROUP_QUERIES", 100)
     monkeypatch.setattr(nb, "QUERY_BLOCK", 60)
     monkeypatch.setattr(nb, "CODE_BLOCK", 150)
-    assert found(spark, rows, 8) == whole == truth(rows, 8, 5)
+    assert found(spark, rows, 8, probes=None, rerank=None) == want
+
+
+def test_lists_are_scored_for_their_queries_only(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(300, 8))
+    model = nb.Model(data, 12, 3)
+    home, codes = model.encode(data)
+    order = np.argsort(home, kind="stable")
+    homes, lengths = np.unique(home, return_counts=True)
+    probed = model.probes(data, 4)
+    centre, table = model.tables(data)
+    scores = centre[:, home] + sum(t[:, codes[:, m]] for m, t in enumerate(table))
+    scores[~(probed[:, :, None] == home).any(axis=1)] = -np.inf
+    for held in (1 << 22, 200):
+        monkeypatch.setattr(nb, "HELD_SCORES", held)
+        q, c, s = nb.search_lists(model, data, probed, homes, lengths, codes[order], 7)
+        for i in range(300):
+            assert np.allclose(np.sort(s[q == i]), np.sort(scores[i])[-7:], atol=1e-4)
+        assert np.allclose(scores[q, order[c]], s, atol=1e-4)
+
+
+def test_shared_vector_in_salted_parts(spark, monkeypatch):
+    same = json.dumps([1.0, 2.0, 0.0, 0.0])
+    rows = [(f"s{i:03}", same) for i in range(200)] + vectors(4, 100, 4)
+    monkeypatch.setattr(nb.runtime.join_salted, "__defaults__", ("inner", 8, 50))
+    assert found(spark, rows, 4, probes=None, rerank=None) == truth(rows, 4, 5)
 
 
 def test_ties_copies_and_invalid(spark):
