@@ -87,6 +87,12 @@ _SHINGLES = """words as (select distinct doc_id, regexp_extract_all(lower(conten
   sizes as (select doc_id, count(*) as n from shingles group by 1),
   common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2)"""
 
+_SHARED = """g as (select doc_id, i, hash(text[i:i+299]) as h from (select doc_id, text, unnest(range(1, len(text) - 298)) as i from documents where len(text) >= 300)),
+  s as (select distinct doc_id, i from g where h in (select h from g group by 1 having min(doc_id) < max(doc_id))),
+  n as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 300 then 0 else 1 end as new from s),
+  k as (select doc_id, i, sum(new) over (partition by doc_id order by i) as k from n),
+  spans as (select doc_id, (min(i) - 1)::int as start, (max(i) - min(i) + 300)::int as length from k group by doc_id, k)"""
+
 QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_groups, p2_found, p2_kinds, p3_found, p5_found, p5_budget, p5_subwords, p8_found, p8_fill, p8_places, p9_found, p9_spans, p10_found, p10_spans, p10_amounts)
@@ -116,6 +122,9 @@ ORACLES = {
       e as (select distinct item_id, w[i:i+11] as s from (select item_id, w, unnest(range(1, len(w) - 10)) as i from
         (select item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from eval_items) where len(w) >= 12))
       select distinct d.doc_id, e.item_id from d join e on d.s = e.s""",
+    "p10_spans": f"with {_SHARED} select doc_id, start, length from spans",
+    "p10_amounts": f"""with {_SHARED} select d.doc_id, max(coalesce(len(text), 0))::bigint as n_chars, coalesce(sum(length), 0)::bigint as shared_chars, count(length) as n_spans
+      from documents d left join spans using (doc_id) group by 1""",
     "p10_found": """with g as (select doc_id, hash(text[i:i+299]) as h from (select doc_id, text, unnest(range(1, len(text) - 298)) as i from documents where len(text) >= 300))
       select distinct doc_id from g where h in (select h from g group by 1 having min(doc_id) < max(doc_id))""",
 }

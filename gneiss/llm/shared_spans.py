@@ -6,15 +6,16 @@ same place in every record that holds the stretch.  *Extend*: all stretches of `
 one anchor occurrence form a run around it, which is widened to both sides as far as the anchor stays the
 least.  Runs are first compared whole by hash; runs that agree with another record's are shared to their
 full width.  The other runs (next to an edit, or unique) are opened: every stretch of a run whose anchor
-gram also occurs in another record is compared on its own, among the runs of that anchor; an anchor with very many
-runs is spread by stretch instead.  Neighbouring shared
-stretches merge into *maximal* spans.  Nothing is compared in pairs: every step groups equal hashes with
-map-side combining, so a header held by a third of all records costs one row per record and task.
+gram also occurs in another record is compared on its own, among the distinct runs of that anchor; an anchor with
+more than ``group_runs`` distinct runs is spread by stretch instead (both ways give the same result).  What is found in
+one run holds at every place where that run stands.  Neighbouring shared stretches merge into *maximal* spans.  Nothing
+is compared in pairs: every step groups equal hashes with map-side combining, so a header held by a third of all
+records costs one row per record and task; the joins back are salted where one run or anchor has many rows.
 
 Equality of 64-bit hashes of (anchor, stretch) stands for equality of text.  Characters are code points.
 
-Defined results: null and short texts share nothing; records with an equal text are collapsed first and share
-it whole; repeated rows with one id are one record; null ids are left out; extra columns are ignored; empty tables give empty results.
+Defined results: null and short texts share nothing; records with an equal text are one class, which shares its text
+whole; repeated rows with one id are one record; null ids are left out; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,14 +35,15 @@ SPAN = 300
 SEED = 48
 #: Characters hashed at once.
 CHUNK_CHARS = 1 << 20
-#: An anchor with more runs than this is compared stretch by stretch, spread over all tasks, instead of in one group.
+#: An anchor with more distinct runs than this is compared stretch by stretch, spread over all tasks, instead of in one group.
 GROUP_RUNS = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 _RUNS = pa.schema([("run", pa.int64()), ("anchor", pa.int64()), ("rec", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("width", pa.int32())])
 
-_OPENED = pa.schema([("key", pa.int64()), ("rec", pa.int64()), ("start", pa.int32()), ("width", pa.int32()), ("slice", pa.string())])
+_OPENED = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("anchor", pa.int64()), ("rec", pa.int64()), ("many", pa.bool_()), ("start", pa.int32()), ("width", pa.int32()), ("slice", pa.string())])
+_FOUND = "run long, anchor long, start int, width int"
 
 
 class _Powers:
@@ -145,36 +147,39 @@ def _runs(lead: DataFrame, span: int, seed: int) -> DataFrame:
     return lead.mapInArrow(find, "run long, anchor long, rec long, id long, start int, width int")
 
 
-def _opened(docs: DataFrame, runs: DataFrame, span: int) -> DataFrame:
-    """(key, rec, start, width, slice): the characters of each run under its anchor, or, for an anchor with more than
-    GROUP_RUNS runs, one row per stretch under the stretch's hash, without characters."""
+def _opened(docs: DataFrame, runs: DataFrame, span: int, group_runs: int) -> DataFrame:
+    """(key, run, anchor, rec, many, start, width, slice): the characters of each run under its anchor, or, for an anchor
+    with more than ``group_runs`` runs, one row per stretch under the stretch's hash, without characters.
+
+    ``start`` counts from the start of the run.  ``many`` marks runs that several records hold.
+    """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rec, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                few = [x for x in spans if x["n"] <= GROUP_RUNS]
+                few = [x for x in spans if x["n"] <= group_runs]
                 if few:
+                    same = {k: [x[k] for x in few] for k in ("run", "anchor", "many", "width")}
                     slices = [text[x["start"] : x["start"] + x["width"] + span - 1] for x in few]
-                    yield textcore.to_batch({"key": [x["anchor"] for x in few], "rec": [rec] * len(few), "start": [x["start"] for x in few], "width": [x["width"] for x in few], "slice": slices}, _OPENED)
-                many = [x for x in spans if x["n"] > GROUP_RUNS]
+                    yield textcore.to_batch(same | {"key": same["anchor"], "rec": [rec] * len(few), "start": [0] * len(few), "slice": slices}, _OPENED)
+                many = [x for x in spans if x["n"] > group_runs]
                 if not many:
                     continue
-                points = textcore.code_points(text)
-                start, width = np.array([x["start"] for x in many], np.int64), np.array([x["width"] for x in many], np.int64)
-                q = np.repeat(start - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-                for k in range(0, len(q), 1 << 18):
-                    part = q[k : k + (1 << 18)]
-                    low = int(part.min())
-                    found = Rolling(points[low : int(part.max()) + span]).stretches(part - low, part - low + span)
-                    n = len(part)
-                    yield textcore.to_batch({"key": found.view(np.int64), "rec": np.full(n, rec, np.int64), "start": part, "width": np.ones(n, np.int32), "slice": pa.nulls(n, pa.string())}, _OPENED)
-
-    by_record = runs.groupBy("rec", "id").agg(F.collect_list(F.struct("anchor", "start", "width", "n")).alias("spans"))
-    return docs.join(by_record, ["id", "rec"]).select("rec", "text", "spans").mapInArrow(expand, "key long, rec long, start int, width int, slice string")
-
-
-def shared_in_groups(keys: np.ndarray, recs: np.ndarray, starts: np.ndarray, slices: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rec, start, width) of the stretches that two records hold under one key, neighbours joined."""
+                roll = Rolling(textcore.code_points(text))
+                for x in many:
+                    for k in range(0, x["width"], 1 << 18):
+                        inner = np.arange(k, min(x["width"], k + (1 << 18)), dtype=np.int64)
+                        at, n = inner + x["start"], len(inner)
+                        found = textcore.mix64(roll.stretches(at, at + span) + np.uint64(x["anchor"] & 0xFFFFFFFFFFFFFFFF))
+                        one = {k2: np.full(n, x[k2]) for k2 in ("run", "anchor", "many")}
+                        yield textcore.to_batch(one | {"key": found.view(np.int64), "rec": np.full(n, rec, np.int64), "start": inner, "width": np.ones(n, np.int32), "slice": pa.nulls(n, pa.string())}, _OPENED)
+
+    by_record = runs.groupBy("rec", "id").agg(F.collect_list(F.struct("run", "anchor", "many", "start", "width", "n")).alias("spans"))
+    return docs.join(by_record, ["id", "rec"]).select("rec", "text", "spans").mapInArrow(expand, "key long, run long, anchor long, rec long, many boolean, start int, width int, slice string")
+
+
+def shared_in_groups(keys: np.ndarray, recs: np.ndarray, many: np.ndarray, slices: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start in it, width) of the stretches that two records hold under one key, neighbours joined."""
     sizes = np.array([len(x) for x in slices], np.int64)
     width = sizes - span + 1
     roll = Rolling(textcore.code_points("".join(slices)))
@@ -188,28 +193,30 @@ def shared_in_groups(keys: np.ndarray, recs: np.ndarray, starts: np.ndarray, sli
     group = np.cumsum(new) - 1
     first = np.nonzero(new)[0]
     rec = recs[row]
-    mixed = np.minimum.reduceat(rec[order], first) != np.maximum.reduceat(rec[order], first)
+    mixed = (np.minimum.reduceat(rec[order], first) != np.maximum.reduceat(rec[order], first)) | np.logical_or.reduceat(many[row][order], first)
     shared = np.zeros(len(row), bool)
     shared[order] = mixed[group]
+    shared &= ~many[row]
     pick = np.nonzero(shared)[0]
     if not len(pick):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     begin = np.r_[True, (pick[1:] != pick[:-1] + 1) | (row[pick][1:] != row[pick][:-1])]
     lead = np.nonzero(begin)[0]
-    return rec[pick[lead]], starts[row[pick[lead]]] + inner[pick[lead]], np.diff(np.r_[lead, len(pick)])
+    return row[pick[lead]], inner[pick[lead]], np.diff(np.r_[lead, len(pick)])
 
 
 def _compared(opened: DataFrame, span: int) -> DataFrame:
-    """(rec, start, width): shared stretches of the runs that came with their characters, anchor by anchor."""
+    """(run, anchor, start, width): shared stretches of the runs that came with their characters, anchor by anchor."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         chars = 0
 
         def flush(rows: pa.Table) -> pa.RecordBatch:
-            keys, recs, starts = (rows.column(k).to_numpy().astype(np.int64) for k in range(3))
-            rec, start, width = shared_in_groups(keys, recs, starts, rows.column(3).to_pylist(), span)
-            return pa.RecordBatch.from_arrays([pa.array(rec), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32))], names=["rec", "start", "width"])
+            keys, recs = (rows.column(k).to_numpy().astype(np.int64) for k in (0, 2))
+            row, start, width = shared_in_groups(keys, recs, rows.column(3).to_numpy().astype(bool), rows.column(4).to_pylist(), span)
+            run = rows.column(1).to_numpy()[row]
+            return pa.RecordBatch.from_arrays([pa.array(run), pa.array(keys[row]), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32))], names=["run", "anchor", "start", "width"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -229,16 +236,11 @@ def _compared(opened: DataFrame, span: int) -> DataFrame:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    sorted_rows = opened.filter("slice is not null").select("key", "rec", "start", "slice").repartition("key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(compare, "rec long, start int, width int")
-
-
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """Keys held by two records or more, combined before the shuffle."""
-    return rows.groupBy(key).agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).filter("lo < hi").select(key)
+    sorted_rows = opened.filter("slice is not null").select("key", "run", "rec", "many", "slice").repartition("key").sortWithinPartitions("key")
+    return sorted_rows.mapInArrow(compare, _FOUND)
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, seed: int = SEED) -> DataFrame:
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, seed: int = SEED, group_runs: int = GROUP_RUNS) -> DataFrame:
     """(doc_id, start, length): the maximal stretches of each record, ``span`` characters or more, covered by
     stretches that occur in the text of another record; ``start`` counts code points from 0."""
     runtime.text_batches(docs.sparkSession)
@@ -247,27 +249,25 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.filter(F.length(text_col) >= span).select(F.xxhash64(text_col, F.length(text_col)).alias("rec"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sizes = records.groupBy("rec").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.max("n_chars").alias("n_chars"))
     copies = sizes.filter("copies > 1").select("rec", "id")
-    copied = records.join(copies.select("rec"), "rec", "left_semi").select(F.col("id").alias("doc_id"), F.lit(0).alias("start"), F.col("n_chars").cast("int").alias("length"))
+    copied = runtime.join_salted(records, copies.select("rec"), ["rec"], ["id"], "left_semi").select(F.col("id").alias("doc_id"), F.lit(0).alias("start"), F.col("n_chars").cast("int").alias("length"))
 
     runs = runtime.materialise(_runs(keyed, span, seed), "runs")
-    whole = runtime.materialise(_shared(runs, "run"), "whole")
-    kept = runs.join(whole, "run", "left_semi").select("rec", "start", "width").distinct()
-    # Anchors that another record also has, but whose run differs there.  Of the records with one such run two
-    # stand for all of them, so that it meets its equals in any third record.
-    row = F.struct("rec", "id", "start", "width")
-    anchors = runs.groupBy("anchor").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", "n")
-    rest = runs.join(anchors, "anchor").groupBy("run", "anchor").agg(F.min(row).alias("lo"), F.max(row).alias("hi"), F.max("n").alias("n"))
-    broken = (
-        rest.join(whole.withColumn("all", F.lit(True)), "run", "left")
-        .select("anchor", "n", F.coalesce("all", F.lit(False)).alias("all"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"))
-        .select("anchor", "n", "all", "r.*")
-    )
-    broken = runtime.materialise(broken, "broken")
-    needed = broken.filter("not all").select("anchor").distinct()
-    opened = runtime.materialise(_opened(keyed, broken.join(needed, "anchor", "left_semi"), span), "opened")
-    hot = opened.filter("slice is null").select("key", "rec", "start", "width")
-    single = hot.join(_shared(hot, "key"), "key", "left_semi").select("rec", "start", "width").unionByName(_compared(opened, span))
-    covered = _merged(kept.unionByName(single), span)
+    # One row per distinct run: its anchor, whether several records hold it, and a place where it stands.
+    place = F.struct("rec", "id", "start", "width")
+    known = runs.groupBy("run", "anchor").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.min(place).alias("at"))
+    known = runtime.materialise(known.select("run", "anchor", "lo", "hi", (F.col("lo") < F.col("hi")).alias("many"), "at.*"), "known")
+    kept = runtime.join_salted(runs, known.filter("many").select("run", "anchor"), ["run", "anchor"], ["rec", "start"], "left_semi").select("rec", "start", "width")
+    # Anchors that two records have, and among whose runs one is not shared whole.
+    anchors = known.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"), F.min("many").alias("all")).filter("lo < hi and not all").select("anchor", "n")
+    broken = runtime.join_salted(known.drop("lo", "hi"), anchors, ["anchor"], ["run"])
+    opened = runtime.materialise(_opened(keyed, broken, span, group_runs), "opened")
+    apart = opened.filter("slice is null")
+    met = apart.groupBy("key").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.max("many").alias("any")).filter("lo < hi or any").select("key")
+    single = runtime.join_salted(apart.filter("not many"), met, ["key"], ["run", "start"], "left_semi").select("run", "anchor", "start", "width")
+    # Back to every place of a run.
+    found = single.unionByName(_compared(opened, span)).select("run", "anchor", F.col("start").alias("inner"), F.col("width").alias("part"))
+    everywhere = runs.join(found, ["run", "anchor"]).select("rec", (F.col("start") + F.col("inner")).alias("start"), F.col("part").alias("width"))
+    covered = _merged(kept.unionByName(everywhere).distinct(), span)
     firsts = records.join(copies.select("rec"), "rec", "left_anti").select("rec", "id")
     return firsts.join(covered, "rec").select(F.col("id").alias("doc_id"), "start", "length").unionByName(copied)
 

@@ -40,8 +40,8 @@ def corpus(seed, n, size, letters="abcdefgh \n"):
     return out
 
 
-def got(spark, rows, span, seed):
-    return {(r.doc_id, r.start, r.length) for r in sp.shared_spans(frame(spark, rows), span=span, seed=seed).collect()}
+def got(spark, rows, span, seed, **options):
+    return {(r.doc_id, r.start, r.length) for r in sp.shared_spans(frame(spark, rows), span=span, seed=seed, **options).collect()}
 
 
 def test_equals_brute_force(spark):
@@ -55,6 +55,26 @@ def test_periodic_texts_and_repeats(spark):
     assert got(spark, rows, 40, 12) == truth(rows, 40)
 
 
+def test_block_repeated_in_one_record(spark):
+    """A block four times in one record, and edited in another: every place of it counts."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        block = "".join(rng.choices("abcdefghijklmnop", k=280))
+        edited = "".join("#" if k % 70 == 35 else c for k, c in enumerate(block))
+        between = ["".join(rng.choices("qrstuvw", k=50)) for _ in range(5)]
+        rows = [(1, between[0] + "".join(block + b for b in between[1:])), (2, edited), (3, "x" * 30), (4, between[2] + block[100:160])]
+        want = truth(rows, 40)
+        assert got(spark, rows, 40, 12) == want
+        assert sum(1 for i, _, _ in want if i == 1) >= 8
+
+
+def test_group_bound_changes_nothing(spark):
+    rows = corpus(7, 60, 300)
+    want = truth(rows, 40)
+    for bound in (0, 1, 1 << 30):
+        assert got(spark, rows, 40, 12, group_runs=bound) == want
+
+
 def test_copies_and_edges(spark):
     text = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(500))
     rows = [(1, None), (2, ""), (3, "short"), (4, text), (5, text), (6, text), (7, "é" * 20 + text[100:300] + "日本語" * 30), (8, text[:39])]
