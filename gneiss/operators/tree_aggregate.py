@@ -1,9 +1,10 @@
 """Per-key results when a few keys hold most records: multi-level tree aggregation (problem 6).
 
-Rows go to chunks by a hash of the row itself, never by key, so all chunks have the same size whatever the keys.
-Each chunk combines its rows locally into one state per key; the states of a key then merge in rounds, ``fan_in``
-chunks at a time, until one is left.  No task receives more than ``fan_in`` states of a key per round, instead of
-one reducer receiving all partial states; a key that few rows name has few states and merges with the rest.
+Rows go to chunks by a hash of the row itself, never by key, so all chunks have about ``CHUNK_ROWS`` rows whatever
+the keys and however large the input.  Each chunk combines its rows locally into one state per key; the states of a key
+then merge in rounds, ``fan_in`` chunks at a time, until one is left.  No task receives more than ``fan_in`` states of
+a key per round, instead of one reducer receiving all partial states; a key that few rows name has few states and
+merges with the rest.  All of it is built-in aggregation, which spills, so a task needs no more memory than Spark grants.
 
 Defined results: a null key is a group of its own unless filtered out by the caller; extra columns are ignored; empty
 tables give empty results.
@@ -21,6 +22,13 @@ from gneiss import runtime
 
 #: States of a key merged per round.
 FAN_IN = 8
+#: Rows of the input per chunk.
+CHUNK_ROWS = 1 << 20
+
+
+def chunk_count(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> int:
+    """Chunks of ``chunk_rows`` rows that the input fills."""
+    return max(1, math.ceil(rows.count() / chunk_rows))
 
 
 def tree_aggregate(rows: DataFrame, keys: list[str], chunk_by: list[str], first: dict[str, Column], merge: dict[str, Callable[[str], Column]], chunks: int, fan_in: int = FAN_IN) -> DataFrame:
@@ -29,65 +37,23 @@ def tree_aggregate(rows: DataFrame, keys: list[str], chunk_by: list[str], first:
     ``first`` has the local aggregate of each state column, ``merge`` how states of one column are merged.
     """
     level = rows.withColumn("_chunk", F.pmod(F.xxhash64(*chunk_by), F.lit(chunks)).cast("int")).groupBy(*keys, "_chunk").agg(*(c.alias(n) for n, c in first.items()))
-    for _ in range(max(1, math.ceil(math.log(max(2, chunks), fan_in)))):
+    while chunks > 1:
+        chunks = math.ceil(chunks / fan_in)
         level = level.withColumn("_chunk", F.floor(F.col("_chunk") / fan_in).cast("int")).groupBy(*keys, "_chunk").agg(*(m(n).alias(n) for n, m in merge.items()))
     return level.drop("_chunk")
 
 
-def distinct_degrees(edges: DataFrame, node_col: str = "dst_node", edge_col: str = "edge_id", chunks: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
-    """(k1, k2, node, n): distinct edges per node.
+def distinct_degrees(edges: DataFrame, node_col: str = "dst_node", edge_col: str = "edge_id", chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """(k1, k2, n): distinct edges per node.
 
-    Nodes and edges travel as 128-bit hashes.  A chunk holds the edges of one hash range of ``edge_col``, so copies of
-    an edge meet in their chunk and are counted once there; the counts of the chunks then merge in the tree.
+    Nodes and edges travel as 128-bit hashes.  Copies of an edge are combined before the shuffle and meet in their
+    chunk, which is chosen by a hash of the edge; every chunk counts the edges per node, and the counts merge in the tree.
     """
-    spark = edges.sparkSession
-    chunks = chunks or max(fan_in, runtime.shuffle_width(spark) * 2)
     valid = edges.filter(F.col(node_col).isNotNull() & F.col(edge_col).isNotNull())
+    chunks = chunk_count(valid, chunk_rows)
     e1, e2 = F.xxhash64(edge_col), F.xxhash64(F.lit(7), F.col(edge_col))
-    hashed = valid.select(*runtime.key128(node_col), e1.alias("e1"), e2.alias("e2"))
-    chunked = hashed.repartition(chunks, "e1").select("k1", "k2", "e1", "e2", F.spark_partition_id().alias("_chunk"))
-    local = chunked.mapInArrow(_count_chunk, "k1 long, k2 long, _chunk int, n long")
-    return merge_counts(local, ["k1", "k2"], chunks, fan_in)
-
-
-def _count_chunk(batches):
-    """Distinct edges per node of one chunk, combined locally with NumPy."""
-    import numpy as np
-    import pyarrow as pa
-
-    parts, chunk = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            chunk = batch.column(4)[0].as_py()
-            parts.append(np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1))
-            if len(parts) >= 64:
-                parts = [_distinct(np.concatenate(parts))]
-    if not parts:
-        return
-    rows = _distinct(np.concatenate(parts))
-    new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
-    at = np.nonzero(new)[0]
-    n = np.diff(np.r_[at, len(rows)])
-    for i in range(0, len(at), 1 << 16):
-        k = rows[at[i : i + (1 << 16)]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(np.full(len(k), chunk, np.int32)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["k1", "k2", "_chunk", "n"]
-        )
-
-
-def _distinct(rows):
-    import numpy as np
-
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
-
-
-def merge_counts(level: DataFrame, keys: list[str], chunks: int, fan_in: int = FAN_IN) -> DataFrame:
-    """Merges per-chunk counts ``n`` in rounds of ``fan_in`` chunks."""
-    rounds = max(1, math.ceil(math.log(max(2, chunks), fan_in)))
-    for _ in range(rounds):
-        level = level.select(*keys, F.floor(F.col("_chunk") / fan_in).cast("int").alias("_chunk"), "n").groupBy(*keys, "_chunk").agg(F.sum("n").alias("n"))
-    return level.drop("_chunk")
+    pairs = valid.select(*runtime.key128(node_col), e1.alias("e1"), e2.alias("e2")).distinct()
+    return tree_aggregate(pairs, ["k1", "k2"], ["e1"], {"n": F.count("*")}, {"n": F.sum}, chunks, fan_in)
 
 
 def wrong_fan_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
