@@ -1,14 +1,15 @@
 """Parent-child links to full hierarchies by tree contraction (problem 7).
 
-Rounds alternate between *raking* (every leaf goes) and *compression* (of every chain of nodes with one child
-an independent set chosen by coins is bypassed, the child taking over the link, its length and the nodes on
-it).  Each removal is recorded.  A forest of any shape is gone after a number of rounds logarithmic in its size;
-what cannot be removed are links of a node to itself, each the core of a loop.  Reversing the recorded
-removals, latest first, hands every node its root, depth and path from the parent it had when it went; whatever
-hangs below a core is on or below a loop.
+Every round first *rakes* (every leaf goes) and then *compresses*: of every chain of nodes with one child an
+independent set - the nodes whose hash, new each round, is above those of their neighbours - is bypassed, the child
+taking over the link, its length and the nodes on it.  Each removal is recorded.  A forest of any shape is gone after a
+number of rounds logarithmic in its size; what cannot be removed are links of a node to itself, each the core of a
+loop.  Reversing the recorded removals, latest first, hands every node its root, depth and path from the parent it
+had when it went; whatever hangs below a core is on or below a loop.
 
-Once at most ``LOCAL_LINKS`` links are left (a fixed bound) one task finishes them, so that the last rounds do not
-cost a job each; with the bound at 0 everything runs in rounds, with the same result.
+A round is one job that writes the links left and the links gone.  Children are counted with map-side combining, and
+the joins of children to a parent that has very many of them are salted; contraction never adds children to a node,
+so the heavy parents of the first table are those of all rounds.
 
 Defined results: a link counts when its parent is a node of the table; a node without such a link is a root (null
 and blank parents too); a node that is its own parent is a loop; a null node is left out; of repeated nodes the caller
@@ -17,17 +18,14 @@ chooses the row (``latest_links``); extra columns are ignored; empty tables give
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss import runtime
 
-#: Links that one task may finish.
-LOCAL_LINKS = 20_000
-_NODE = "node string, root string, depth long, path array<string>"
+_LINK = ["node", "parent", "length", "between"]
 
 
 def latest_links(table: DataFrame, id_col: str = "symbol_id", parent_col: str = "enclosing_symbol", time_col: str = "ingested_at") -> DataFrame:
@@ -36,108 +34,68 @@ def latest_links(table: DataFrame, id_col: str = "symbol_id", parent_col: str =
     return latest.select("node", F.col("row.parent").alias("parent"))
 
 
-def _coin(node: Column, round_no: int) -> Column:
-    return F.pmod(F.xxhash64(node, F.lit(round_no)), F.lit(2)) == 1
+def _rank(node: Column, round_no: int) -> Column:
+    return F.xxhash64(node, F.lit(round_no))
 
 
-def _rake(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parents = links.select(F.col("parent").alias("node")).distinct()
-    return links.join(parents, "node", "left_semi"), links.join(parents, "node", "left_anti")
-
-
-def _compress(links: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame]:
-    single = links.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("c")).filter("c = 1").select("node")
-    picked = links.filter((F.col("node") != F.col("parent")) & _coin(F.col("node"), round_no) & ~_coin(F.col("parent"), round_no)).join(single, "node", "left_semi")
-    bypass = picked.select(F.col("node").alias("b_node"), F.col("parent").alias("b_parent"), F.col("length").alias("b_length"), F.col("between").alias("b_between"))
-    stay = links.join(bypass.select(F.col("b_node").alias("node")), "node", "left_anti")
-    moved = stay.join(bypass, stay["parent"] == bypass["b_node"], "left")
+def _contract(links: DataFrame, round_no: int) -> DataFrame:
+    """One round: the links with ``gone`` = 'raked' or 'bypassed' as they were, and null for those left (relinked)."""
+    parents = links.select(F.col("parent").alias("node")).distinct().withColumn("_up", F.lit(True))
+    marked = links.join(parents, "node", "left")
+    raked, inner = marked.filter("_up is null").drop("_up"), marked.filter("_up").drop("_up")
+    only = inner.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("c"), F.min("node").alias("child")).filter("c = 1").select("node", "child")
+    mine = _rank(F.col("node"), round_no)
+    chosen = (F.col("node") != F.col("parent")) & (mine > _rank(F.col("parent"), round_no)) & (mine > _rank(F.col("child"), round_no))
+    flagged = inner.join(only, "node", "left").withColumn("_off", F.coalesce(F.col("child").isNotNull() & chosen, F.lit(False)))
+    bypassed = flagged.filter("_off")
+    over = bypassed.select(F.col("child").alias("node"), F.col("node").alias("b_node"), F.col("parent").alias("b_parent"), F.col("length").alias("b_length"), F.col("between").alias("b_between"))
+    moved = flagged.filter("not _off").join(over, "node", "left")
     hit = F.col("b_node").isNotNull()
-    relinked = moved.select(
+    left = moved.select(
         "node",
         F.when(hit, F.col("b_parent")).otherwise(F.col("parent")).alias("parent"),
         F.when(hit, F.col("length") + F.col("b_length")).otherwise(F.col("length")).alias("length"),
         F.when(hit, F.concat("b_between", F.when(F.col("kept"), F.array("b_node")).otherwise(F.array().cast("array<string>")), "between")).otherwise(F.col("between")).alias("between"),
         "kept",
+        F.lit(None).cast("string").alias("gone"),
+    )
+    out = (raked.withColumn("gone", F.lit("raked")), bypassed.select(*_LINK, "kept", F.lit("bypassed").alias("gone")))
+    return left.unionByName(out[0].select(*_LINK, "kept", "gone")).unionByName(out[1])
+
+
+def _undo(gone: DataFrame, done: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """(node, root, depth, path) of removed links from what their parents have; a parent without a link is a root."""
+    up = done.select(F.col("node").alias("parent"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"), F.lit(True).alias("u_known"))
+    met = runtime.join_heavy(gone, up, ["parent"], ["node"], heavy, "left")
+    top = F.col("u_known").isNull()
+    return met.select(
+        "node",
+        F.when(top, F.col("parent")).otherwise(F.col("u_root")).alias("root"),
+        F.when(top, F.col("length")).otherwise(F.col("u_depth") + F.col("length")).alias("depth"),
+        F.when(F.col("kept"), F.concat(F.when(top, F.array("parent")).otherwise(F.col("u_path")), "between", F.array("node"))).otherwise(F.lit(None).cast("array<string>")).alias("path"),
     )
-    return relinked, picked
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root, depth, path) of the links of one task; root and path are null on and below loops."""
-    parent: dict[str, tuple[str, int, list[str], bool]] = {}
-    for batch in batches:
-        for node, up, length, between, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parent[node] = (up, length, between, kept)
-    done: dict[str, tuple[str | None, int | None, list[str] | None]] = {}
-    for start in parent:
-        chain, seen, at = [], set(), start
-        while at in parent and at not in done and at not in seen:
-            seen.add(at)
-            chain.append(at)
-            at = parent[at][0]
-        if at in seen:
-            state: tuple = (None, None, None)
-        else:
-            state = done.get(at) or (at, 0, None)
-        for node in reversed(chain):
-            up, length, between, kept = parent[node]
-            if state[0] is not None:
-                before = state[2] if state[2] is not None else ([up] if kept else [])
-                state = (state[0], state[1] + length, [*before, *between, node] if kept else [])
-            done[node] = state
-    rows = list(done.items())
-    for i in range(0, len(rows), 4096):
-        part = rows[i : i + 4096]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n for n, _ in part], pa.string()), pa.array([s[0] for _, s in part], pa.string()), pa.array([s[1] for _, s in part], pa.int64()), pa.array([s[2] for _, s in part], pa.list_(pa.string()))],
-            names=["node", "root", "depth", "path"],
-        )
-
-
-def hierarchy(nodes: DataFrame, paths: bool = True, local_links: int = LOCAL_LINKS) -> DataFrame:
+
+
+def hierarchy(nodes: DataFrame, paths: bool = True, heavy_rows: int = runtime.HEAVY_ROWS) -> DataFrame:
     """(node, root, depth, path, in_loop) for every row (node, parent) of ``nodes``.
 
     ``path`` lists the ids from the root to the node (null without ``paths``); on and below loops root, depth and path
     are null and ``in_loop`` is true.
     """
-    known = nodes.select(F.col("node").alias("parent"))
-    links = nodes.filter("node is not null and parent is not null").join(known, "parent", "left_semi")
-    empty = F.array().cast("array<string>")
-    live = runtime.materialise(links.select("node", "parent", F.lit(1).cast("long").alias("length"), empty.alias("between"), F.lit(paths).alias("kept")), "links")
+    named = nodes.filter("node is not null and parent is not null").select("node", "parent")
+    heavy = runtime.heavy_keys(named, ["parent"], heavy_rows)
+    links = runtime.join_heavy(named, nodes.select(F.col("node").alias("parent")).distinct(), ["parent"], ["node"], heavy, "left_semi")
+    live = runtime.materialise(links.select("node", "parent", F.lit(1).cast("long").alias("length"), F.array().cast("array<string>").alias("between"), F.lit(paths).alias("kept")), "links")
     records: list[DataFrame] = []
-    round_no = 0
-    while True:
-        left = live.agg(F.count("*").alias("n"), F.sum((F.col("node") != F.col("parent")).cast("long")).alias("open")).first()
-        if left["n"] <= local_links or not left["open"]:
-            break
-        live, gone = _rake(live) if round_no % 2 == 0 else _compress(live, round_no)
-        live, gone = runtime.materialise(live, "live"), runtime.materialise(gone, "gone")
-        records.append(gone)
-        round_no += 1
-    if left["n"] <= local_links:
-        done = live.coalesce(1).mapInArrow(_finish, _NODE)
-    else:
-        done = live.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-    parts = [runtime.materialise(done, "done")]
-    # A parent that has no link itself is a root: it is its own root at depth 0.
-    for gone in reversed(records):
-        done = parts[0]
-        for part in parts[1:]:
-            done = done.unionByName(part)
-        up = done.select(F.col("node").alias("parent"), F.col("root").alias("u_root"), F.col("depth").alias("u_depth"), F.col("path").alias("u_path"), F.lit(True).alias("u_known"))
-        met = gone.join(up, "parent", "left")
-        top = F.col("u_known").isNull()
-        root = F.when(top, F.col("parent")).otherwise(F.col("u_root"))
-        mine = met.select(
-            "node",
-            root.alias("root"),
-            F.when(top, F.col("length")).otherwise(F.col("u_depth") + F.col("length")).alias("depth"),
-            F.when(F.col("kept"), F.concat(F.when(top, F.array("parent")).otherwise(F.col("u_path")), "between", F.array("node"))).otherwise(F.lit(None).cast("array<string>")).alias("path"),
-        )
-        parts.append(runtime.materialise(mine, "done"))
-    done = parts[0]
-    for part in parts[1:]:
-        done = done.unionByName(part)
+    while live.filter("node <> parent").limit(1).count():
+        after = runtime.materialise(_contract(live, len(records)), "round")
+        records.append(after)
+        live = after.filter("gone is null").drop("gone")
+    parts = [runtime.materialise(live.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")), "done")]
+    for after in reversed(records):
+        for how in ("bypassed", "raked"):
+            parts.append(runtime.materialise(_undo(after.filter(F.col("gone") == how).drop("gone"), reduce(DataFrame.unionByName, parts), heavy), "done"))
+    done = reduce(DataFrame.unionByName, parts)
     linked = done.select("node", "root", "depth", F.when(F.lit(paths), F.col("path")).alias("path"), F.col("root").isNull().alias("in_loop"))
     roots = nodes.filter("node is not null").select("node").join(done.select("node"), "node", "left_anti")
     own = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), (F.array("node") if paths else F.lit(None).cast("array<string>")).alias("path"), F.lit(False).alias("in_loop"))

@@ -58,21 +58,34 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def join_salted(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = SALTS, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """``big`` joined to ``small`` on ``keys``, the heaviest keys of ``big`` cut into ``salts`` parts.
+def heavy_keys(big: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
+    """The ``HEAVY_KEYS`` keys of ``big`` with the most rows, as far as these exceed ``heavy_rows``; None without any.
 
-    Heavy are the ``HEAVY_KEYS`` keys with the most rows, as far as these exceed ``heavy_rows``, so any other key has
-    less than a share of 1 / HEAVY_KEYS of the rows or few rows.  ``spread`` names columns of ``big`` whose hash chooses
-    the part; rows of ``small`` with a heavy key are repeated per part.  ``how``: inner, left, left_semi or left_anti.
+    Any other key has less than a share of 1 / HEAVY_KEYS of the rows, or few rows.
     """
     counts = big.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy_rows)
     heavy = counts.orderBy(F.desc("_n")).limit(HEAVY_KEYS).collect()
     if not heavy:
+        return None
+    return big.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in heavy], counts.select(*keys).schema).withColumn("_heavy", F.lit(True))
+
+
+def join_salted(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = SALTS, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``big`` joined to ``small`` on ``keys``, the heaviest keys of ``big`` cut into ``salts`` parts."""
+    return join_heavy(big, small, keys, spread, heavy_keys(big, keys, heavy_rows), how, salts)
+
+
+def join_heavy(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], heavy: DataFrame | None, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``big`` joined to ``small`` on ``keys``, the keys in ``heavy`` (of ``heavy_keys``) cut into ``salts`` parts.
+
+    ``spread`` names columns of ``big`` whose hash chooses the part; rows of ``small`` with a heavy key are repeated per
+    part.  ``how``: inner, left, left_semi or left_anti.  What is broadcast has ``HEAVY_KEYS`` rows at most.
+    """
+    if heavy is None:
         return big.join(small, keys, how)
-    named = big.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in heavy], counts.select(*keys).schema).withColumn("_heavy", F.lit(True))
     parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(F.broadcast(named), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_heavy")
-    right = small.join(F.broadcast(named), keys, "left").withColumn("_salt", F.explode(parts)).drop("_heavy")
+    left = big.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_heavy")
+    right = small.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(parts)).drop("_heavy")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
