@@ -53,7 +53,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill_report(_packed(spark, folder))
+    """Containers used per window, and the least possible by the dual of the program."""
+    docs, windows = _t(spark, folder, "documents"), packing.window_list(_t(spark, folder, "token_windows"))
+    least = packing.least_containers(packing.document_sizes(docs), windows)
+    return packing.fill_report(_packed(spark, folder)).join(least, "window_id", "left")
+
+
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_check(_packed(spark, folder), packing.window_list(_t(spark, folder, "token_windows")))
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).drop("container")
 
 
 def p8_places(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +106,7 @@ _SHARED = """g as (select doc_id, i, hash(text[i:i+299]) as h from (select doc_i
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_kinds, p3_found, p5_found, p5_budget, p5_subwords, p8_found, p8_fill, p8_places, p9_found, p9_spans, p10_found, p10_spans, p10_amounts)
+    for f in (p1_found, p1_groups, p2_found, p2_kinds, p3_found, p5_found, p5_budget, p5_subwords, p8_found, p8_fill, p8_check, p8_pieces, p8_places, p9_found, p9_spans, p10_found, p10_spans, p10_amounts)
 }
 
 
@@ -117,6 +128,11 @@ ORACLES = {
       and r.commit_hash is not distinct from t.commit_hash and r.language is not distinct from t.language where r.n_tokens is distinct from coalesce(t.total, 0)""",
     "p5_budget": f"""with {_COUNTED} select source, trim(lower(coalesce(language, ''))) as language, repo, commit_hash, count(*) as n_docs, sum(n)::bigint as n_tokens from counted group by 1, 2, 3, 4""",
     "p8_found": f"with {_COUNTED} select distinct window_id, doc_id from counted, token_windows where n > capacity_tokens",
+    "p8_pieces": f"""with {_COUNTED}, c as (select window_id, doc_id, n, capacity_tokens as cap, ceil(n / capacity_tokens)::int as k from counted, token_windows),
+      e as (select *, unnest(range(0, greatest(k, 1)))::int as piece from c)
+      select window_id, doc_id, piece, k as n_pieces, case when k = 0 then 0 when piece < k - 1 then cap else n - cap::bigint * (k - 1) end::bigint as tokens from e""",
+    "p8_check": f"""with {_COUNTED} select window_id, sum(n)::bigint as n_tokens, sum((n > capacity_tokens)::int)::bigint as n_split, 0::bigint as n_overfull, true as near_volume
+      from counted, token_windows group by 1""",
     "p9_found": """with d as (select doc_id, w[i:i+11] as s from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from
         (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from documents) where len(w) >= 12)),
       e as (select distinct item_id, w[i:i+11] as s from (select item_id, w, unnest(range(1, len(w) - 10)) as i from

@@ -69,7 +69,9 @@ def test_configurations_cover_exactly(histogram, capacity):
     sizes = np.array(sorted(histogram))
     counts = np.array([histogram[s] for s in sizes.tolist()])
     used = defaultdict(int)
-    for config, times in packing.configurations(sizes, counts, capacity):
+    plan, least = packing.configurations(sizes, counts, capacity)
+    assert -(-int(sizes @ counts) // capacity) <= least <= sum(times for _, times in plan)
+    for config, times in plan:
         assert times > 0 and sum(int(sizes[i]) * n for i, n in config.items()) <= capacity
         for i, n in config.items():
             used[i] += n * times
@@ -85,5 +87,28 @@ def test_knapsack_is_optimal(capacity):
     best = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
         best[c] = max([best[c - 1]] + [best[c - s] + w for s, w in zip(sizes, weights, strict=True) if s <= c])
-    found = packing.knapsack(weights, sizes, np.full(6, 1000), capacity)
-    assert abs(sum(weights[i] * n for i, n in found.items()) - best[capacity]) < 1e-9
+    found, value = packing.knapsack(weights, sizes, capacity)
+    assert abs(value - best[capacity]) < 1e-9 and abs(sum(weights[i] * n for i, n in found.items()) - best[capacity]) < 1e-9
+
+
+def test_dual_bound_and_program():
+    """600 items of 399 and 1,200 of 297: two of 399 do not leave room, 399 + 2 * 297 is the only good combination."""
+    import numpy as np
+
+    sizes, counts = np.array([297, 399]), np.array([1200, 600])
+    plan, least = packing.configurations(sizes, counts, 1024)
+    assert sum(times for _, times in plan) == 600 and 582 <= least <= 600
+    times, bound = packing.solve_program(sizes, counts.astype(float), 1024)
+    assert bound <= sum(times.values()) + 18.2  # what is not covered yet needs the rest
+    for config, x in times.items():
+        assert x > 0 and sum(int(sizes[i]) * n for i, n in config) <= 1024
+
+
+def test_reports(spark):
+    rows = [(1, 25), (2, 4), (3, 6), (4, 0)]
+    df = spark.createDataFrame([(i, n, 0, 0, "") for i, n in rows], ITEMS)
+    packed = packing.pack(df, [(1, 10)])
+    assert [tuple(r) for r in packing.fill_report(packed).collect()] == [(1, 4, 35, 1)]
+    assert [tuple(r) for r in packing.fill_check(packed, [(1, 10)]).collect()] == [(1, 35, 1, 0, True)]
+    assert [tuple(r) for r in packing.least_containers(df, [(1, 10)]).collect()] == [(1, 4)]
+    assert sorted(r.tokens for r in packing.container_report(packed).collect()) == [5, 10, 10, 10]
