@@ -98,6 +98,17 @@ _SHINGLES = """words as (select distinct doc_id, regexp_extract_all(lower(conten
   sizes as (select doc_id, count(*) as n from shingles group by 1),
   common as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2)"""
 
+#: White space as the pieces of ``tokens.PIECE`` see it.
+_BLANK = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SUBWORDS = rf"""v as (select distinct lower(hex(from_base64(split_part(line, ' ', 1)))) as w from read_csv('{tokens.VOCABULARY}', header = false, delim = '\t', quote = '', escape = '', columns = {{'line': 'varchar'}})),
+  lens as (select distinct len(w) as l from v union select 2),
+  pieces as (select doc_id, unnest(regexp_extract_all(content, ' ?[^{_BLANK}]+|[{_BLANK}]+')) as p from documents),
+  known as (select distinct p, lower(hex(encode(p))) as h from pieces),
+  walk as (select p, h, 1::bigint as pos, 0::bigint as n from known
+    union all select p, h, pos + best, n + 1 from (select walk.p, walk.h, walk.pos, walk.n, max(case when l = 2 or v.w is not null then l end) as best
+      from walk join lens on walk.pos + l <= len(walk.h) + 1 left join v on v.w = substr(walk.h, walk.pos, l) group by all)),
+  lengths as (select p, max(n) as n from walk where pos > len(h) group by p),
+  subwords as (select doc_id, sum(n)::bigint as s from pieces join lengths using (p) group by 1)"""
 _SHARED = """g as (select doc_id, i, hash(text[i:i+299]) as h from (select doc_id, text, unnest(range(1, len(text) - 298)) as i from documents where len(text) >= 300)),
   s as (select distinct doc_id, i from g where h in (select h from g group by 1 having min(doc_id) < max(doc_id))),
   n as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 300 then 0 else 1 end as new from s),
@@ -127,6 +138,8 @@ ORACLES = {
       select r.source, r.repo, r.commit_hash, r.language from snapshot_tokens r left join sums t on r.source is not distinct from t.source and r.repo is not distinct from t.repo
       and r.commit_hash is not distinct from t.commit_hash and r.language is not distinct from t.language where r.n_tokens is distinct from coalesce(t.total, 0)""",
     "p5_budget": f"""with {_COUNTED} select source, trim(lower(coalesce(language, ''))) as language, repo, commit_hash, count(*) as n_docs, sum(n)::bigint as n_tokens from counted group by 1, 2, 3, 4""",
+    "p5_subwords": f"""with recursive {_SUBWORDS}, {_COUNTED} select source, trim(lower(coalesce(language, ''))) as language, count(*) as n_docs, sum(n)::bigint as n_tokens, sum(coalesce(s, 0))::bigint as n_subwords
+      from counted left join subwords using (doc_id) group by 1, 2""",
     "p8_found": f"with {_COUNTED} select distinct window_id, doc_id from counted, token_windows where n > capacity_tokens",
     "p8_pieces": f"""with {_COUNTED}, c as (select window_id, doc_id, n, capacity_tokens as cap, ceil(n / capacity_tokens)::int as k from counted, token_windows),
       e as (select *, unnest(range(0, greatest(k, 1)))::int as piece from c)

@@ -32,15 +32,29 @@ def greedy(words, data):
 @settings(max_examples=200, deadline=None)
 @given(st.sets(st.binary(min_size=1, max_size=5).map(lambda b: bytes(x % 3 + 97 for x in b)), max_size=12), st.binary(max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)))
 def test_longest_match_equals_greedy(words, data):
-    assert tokens.LongestMatch(sorted(words)).count(data) == greedy(words, data)
+    machine = tokens.LongestMatch([[(w, 1, 0) for w in [*(bytes([b]) for b in range(256)), *sorted(words)]]])
+    assert machine.count(data) == greedy(words, data)
+
+
+def test_lines_run_through_the_trie():
+    """The table over three symbols says what the machine emits symbol by symbol."""
+    machine, kinds = tokens.line_machine(), [0, 2, 2, 1, 3, 3, 2, 0, 0, 1, 2, 0]
+    node, total = 0, 0
+    for k in kinds:
+        node, emitted = machine.step(node, k)
+        total += emitted
+    assert total == machine.count(kinds) == 5
+    padded = [0, 0, *kinds]
+    assert sum(int(machine.emissions(4)[tuple(padded[i : i + 3])]) for i in range(len(kinds))) == total
 
 
 @pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="vocabulary file is missing")
 def test_public_vocabulary(spark):
-    m = tokens.matcher(tokens.VOCABULARY)
+    with open(tokens.VOCABULARY, "rb") as file:
+        m = tokens.byte_machine(file.read())
     assert m.count(b" the") == 1 and m.count(b"") == 0 and m.count("日本".encode()) >= 1
     df = spark.createDataFrame([("def f(x):\n  return x",), ("",), (None,), ("é中",)], "content string")
-    found = [r[0] for r in df.select(tokens.subword_counts("content")).collect()]
+    found = [r[0] for r in df.select(tokens.subword_counts(spark, "content")).collect()]
     assert found[1:3] == [0, 0] and found[0] > 5 and found[3] > 0
 
 
