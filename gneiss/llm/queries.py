@@ -28,6 +28,10 @@ def p2_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return handwritten.not_handwritten(_t(spark, folder, "documents"))
 
 
+def p2_by_path(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.shown_by_path(_t(spark, folder, "documents"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_pairs(_t(spark, folder, "function_intents"))
 
@@ -117,7 +121,7 @@ _SHARED = """g as (select doc_id, i, hash(text[i:i+299]) as h from (select doc_i
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_kinds, p3_found, p5_found, p5_budget, p5_subwords, p8_found, p8_fill, p8_check, p8_pieces, p8_places, p9_found, p9_spans, p10_found, p10_spans, p10_amounts)
+    for f in (p1_found, p1_groups, p2_found, p2_kinds, p2_by_path, p3_found, p5_found, p5_budget, p5_subwords, p8_found, p8_fill, p8_check, p8_pieces, p8_places, p9_found, p9_spans, p10_found, p10_spans, p10_amounts)
 }
 
 
@@ -133,6 +137,12 @@ def _near_sql(name: str, col: str, dim: int) -> str:
 ORACLES = {
     "p1_found": f"""with {_SHINGLES} select x as doc_id_a, y as doc_id_b from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y
       where c >= 0.6 * (a.n + b.n - c) - 1e-9""",
+    "p2_by_path": r"""select distinct doc_id, case when regexp_matches(p, '(^|/)(generated-sources|generated-src|build/generated|__generated__)/|[._](pb|pb2|pb2_grpc|g|designer|generated)\.[a-z0-9_]+$')
+        or regexp_matches(p, '(^|/)(package-lock\.json|npm-shrinkwrap\.json|pnpm-lock\.yaml|go\.sum)$|\.lock$') then 'generated'
+      when regexp_matches(p, '[.-]min\.(js|mjs|cjs|css|ts)$') then 'minified' else 'third_party' end as kind
+      from (select doc_id, lower(relative_path) as p, '(vendor|vendored|third_party|thirdparty|third-party|3rdparty|node_modules|bower_components|jspm_packages|godeps/_workspace|pods|carthage|site-packages|dist-packages)/' as v from documents)
+      where regexp_matches(p, '(^|/)(generated-sources|generated-src|build/generated|__generated__)/|[._](pb|pb2|pb2_grpc|g|designer|generated)\.[a-z0-9_]+$|(^|/)(package-lock\.json|npm-shrinkwrap\.json|pnpm-lock\.yaml|go\.sum)$|\.lock$|[.-]min\.(js|mjs|cjs|css|ts)$')
+        or (regexp_matches(p, '(^|/)' || v) and not regexp_matches(regexp_extract(p, '^(.*?/|)' || v, 1), '(^|/)(src|packages|crates|internal|lib|docs)/'))""",
     "p3_found": _near_sql("fused", "fused_vec_json", 36) + " union all " + _near_sql("semantic", "semantic_vec_json", 32),
     "p5_found": f"""with {_COUNTED}, sums as (select source, repo, commit_hash, trim(lower(coalesce(language, ''))) as language, sum(n) as total from counted group by 1, 2, 3, 4)
       select r.source, r.repo, r.commit_hash, r.language from snapshot_tokens r left join sums t on r.source is not distinct from t.source and r.repo is not distinct from t.repo

@@ -4,6 +4,8 @@ from gneiss.llm import handwritten as h
 
 CODE = "public class Total {\n    int sum(int a, int b) {\n        return a + b;\n    }\n    String name() {\n        return label.trim();\n    }\n}\n"
 
+LICENCE = "/*\n" + " * Permission is granted.\n" * 40 + " */\n"
+
 CASES = [
     ("src/A.java", "// Code generated by tool 1.2 from a.idl. DO NOT EDIT.\n" + CODE, "generated"),
     ("src/A.java", "package a;\n@Generated(\"tool:1.2\")\n" + CODE, "generated"),
@@ -20,14 +22,34 @@ CASES = [
     ("vendor/lib/a/A.java", CODE, "third_party"),
     ("node_modules/x/lib/a.js", CODE, "third_party"),
     ("src/vendor/Prices.java", CODE, None),
-    ("gen/a/b.py", CODE, "generated"),
-    ("a/b_pb.py", CODE, "generated"),
+    ("gen/a/b.py", CODE, None),
+    ("gen/a/b.py", "".join(f"def get_{c}(self): return self.{c}_{i}\n" for i, c in enumerate("abcdefgh")), "generated"),
+    ("a/b_pb2.py", CODE, "generated"),
+    ("src/A.java", LICENCE + "// Code generated by protoc-gen-go. DO NOT EDIT.\n" + CODE, "generated"),
+    ("src/A.java", "/* Code generated by tool. " + "x" * 600 + " */\n" + CODE, "generated"),
+    ("src/a.go", "// Code generated by protoc-gen-go. DO NOT EDIT.\n// source: a.proto\n\npackage a\n" + CODE, "generated"),
+    ("src/a.ts", "/* eslint-disable */\n// This file was automatically generated by json-schema-to-typescript.\n" + CODE, "generated"),
+    ("src/a.py", "# -*- coding: utf-8 -*-\n# Generated by Django 4.2 on 2024-01-01 10:00\nfrom a import b\n" + CODE, "generated"),
+    ("src/a.cs", "// <auto-generated>\n//     This code was generated by a tool.\n// </auto-generated>\n" + CODE, "generated"),
+    ("src/a.c", "/* Created by jdoe on 2014-01-01, written by hand */\n" + CODE, None),
+    ("src/a.c", "#line 1 \"a.y\"\n" + CODE + "#line 9 \"a.y\"\n" + CODE, "generated"),
+    ("src/colors.ts", "".join(f"export const COLOR_{i}_NAME = 'shade {i}';\n" for i in range(12)), None),
+    ("src/P.java", "class P {\n" + "".join(f"    public int getField{i}() {{\n        return field{i};\n    }}\n" for i in range(12)) + "}\n", None),
+    ("tests/test_a.py", "def test_a():\n" + "".join(f"    assert f({i}) == {i * i}\n" for i in range(12)), None),
+    ("app/deps/resolve.py", CODE, None),
+    ("extern/mylib/a.c", CODE, None),
+    ("extern/lib/a.c", CODE, None),
+    ("extern/mylib-1.2.3/a.c", CODE, "third_party"),
+    ("extern/mylib/a.c", "/* mylib 1.2.3 */\n" + CODE, "third_party"),
+    ("extern/zlibx/a.c", CODE, "third_party"),
+    ("vendor/zlibx/b.c", CODE, "third_party"),
     ("web/package-lock.json", "{}", "generated"),
     ("a/x.min.js", CODE, "minified"),
     ("a/x.js", "var a=b?c.d(1):!2;if(a&&b>4)c(\"x\",5);" * 30, "minified"),
     ("a/x.js", "const t = [\n" + "".join(f"  [{i}.5, -{i}.25, {i}],\n" for i in range(30)) + "];\n", "data"),
     ("a/x.py", "blob = \"\"\"\n" + "\n".join("QUJD" * 19 for _ in range(9)) + "\n\"\"\"\n", "data"),
-    ("a/X.java", "class X {\n" + "".join(f"    public static final int K_{i} = {i * 7};\n" for i in range(20)) + "}\n", "generated"),
+    ("a/X.java", "class X {\n" + "".join(f"    public static final int K_{i} = {i * 7};\n" for i in range(20)) + "}\n", None),
+    ("a/X.java", "class X {\n  int[] t = [\n" + "    1, 2, 3, 4,\n" * 5 + "  ];\n" + "".join(f"    case {i}: goto state_{i * 3}; /* rule {i} */\n" for i in range(8)) + "}\n", "generated"),
     ("a/X.java", CODE + "int[] t = [\n" + "    1, 2, 3, 4,\n" * 4 + "];\n" + CODE, None),
     ("a/X.java", CODE, None),
     (None, None, None),
@@ -38,7 +60,7 @@ CASES = [
 
 @pytest.mark.parametrize("path, text, kind", CASES)
 def test_cases(path, text, kind):
-    assert h.classify(path, text, "java") == kind
+    assert h.classify(path, text, "java", frozenset({"zlibx"})) == kind
 
 
 def test_operator(spark):
