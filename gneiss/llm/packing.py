@@ -42,6 +42,8 @@ PROGRAMS = 2
 LARGE = 0.02
 #: Strength of the weights.
 STEP = 0.35
+#: Tasks over which the windows are spread for planning.
+PLAN_TASKS = 64
 #: Rows per block when ranks are computed, and blocks at least.
 BLOCK_ROWS = 1 << 20
 SALTS = 32
@@ -193,7 +195,8 @@ def _plan(cut: DataFrame) -> DataFrame:
         return pa.table({"window_id": pa.array(np.full(len(table), rows.column("window_id")[0].as_py(), np.int32))} | {n: table[:, k] for k, n in enumerate(names)} | {"least": np.full(len(table), least, np.int64)})
 
     histogram = cut.filter("rest > 0").groupBy("window_id", "capacity", "kind").count()
-    return histogram.groupBy("window_id").applyInArrow(solve, _SLOTS)
+    # A fixed number of partitions, so that windows are not put together into one task.
+    return histogram.repartition(PLAN_TASKS, "window_id").groupBy("window_id").applyInArrow(solve, _SLOTS)
 
 
 def pack(items: DataFrame, windows: list[tuple[int, int]], id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
