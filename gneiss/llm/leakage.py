@@ -1,14 +1,15 @@
 """Evaluation texts inside training texts: an FM-index per shard of the corpus (problem 9).
 
-A shard is a bounded number of words of consecutive documents.  Its words become symbols; words that no
-evaluation item uses become one separator, and stretches between separators that are too short to hold a
-phrase are left out.  The shard's suffix array gives the Burrows-Wheeler transform, kept as a wavelet matrix
-with rank counts; all phrases (every window of ``phrase`` consecutive item words) are searched backwards at
-once, the rows found are located by walking back to sampled suffix positions, and hits at consecutive
-positions of one item merge into removal spans.
+A shard is a bounded number of words of consecutive documents.  Words travel as 64-bit hashes, whose equality stands for
+equality of words; words that no evaluation item uses, by a bitmap of fixed size, become separators, and stretches
+between separators that are too short to hold a phrase are left out.  The rest of a shard gets symbols of its own.
+Its suffix array gives the Burrows-Wheeler transform, kept as a wavelet matrix with rank counts; all phrases (every
+window of ``phrase`` consecutive item words) are searched backwards at once, the rows found are located by walking back
+to sampled suffix positions, and hits at consecutive positions of one item merge into removal spans.
 
-The items are the given side: they are read in blocks of at most ``BLOCK_WORDS`` words and sent to the tasks
-block by block, so what is broadcast has a fixed bound whatever the size of the item table.
+The items are the given side: the driver reads them in blocks of at most ``BLOCK_WORDS`` words and sends each block on
+its own.  Every shard is indexed once and searched for the phrases of all blocks in turn, so the corpus is read once
+whatever the number of blocks.
 
 Defined results: null or shorter texts (in words) match nothing; items repeated under other ids are reported for
 each id; repeated documents are reported for each; extra columns are ignored; empty tables give empty results.
@@ -30,8 +31,9 @@ PHRASE = 12
 #: Words of one FM-index, and distance of the sampled suffix positions.
 SHARD_WORDS = 200_000
 SAMPLE = 8
-#: Item words searched at once; a larger item table takes several passes.
+#: Item words sent and searched together; bits of the bitmap of item words, as a power of two.
 BLOCK_WORDS = 500_000
+BITMAP_BITS = 24
 
 _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32())])
 
@@ -128,60 +130,72 @@ class FMIndex:
 
 
 class Phrases:
-    """All windows of ``width`` words of the items, over the items' own vocabulary."""
+    """All windows of ``width`` words of the items, as word hashes."""
 
     def __init__(self, items: list[tuple[int, str | None]], width: int) -> None:
         self.width = width
-        self.number: dict[str, int] = {}
-        lines, owners = [], []
+        lines, owners = [np.empty((0, width), np.uint64)], [np.empty(0, np.int64)]
         for item, text in items:
-            codes = [self.number.setdefault(w, len(self.number) + 2) for w in textcore.words(text)]
-            lines += [codes[i : i + width] for i in range(len(codes) - width + 1)]
-            owners += [(item, i) for i in range(len(codes) - width + 1)]
-        self.sigma = len(self.number) + 2
-        matrix = np.array(lines, np.int64).reshape(-1, width)
-        self.matrix, inverse = np.unique(matrix, axis=0, return_inverse=True)
+            found = textcore.word_hashes(text)
+            if len(found) >= width:
+                lines.append(np.lib.stride_tricks.sliding_window_view(found, width))
+                owners.append(np.full(len(found) - width + 1, item, np.int64))
+        self.matrix, inverse = np.unique(np.concatenate(lines), axis=0, return_inverse=True)
         order = np.argsort(inverse.ravel(), kind="stable")
-        self.owners = np.array(owners, np.int64).reshape(-1, 2)[order]
+        self.owners = np.concatenate(owners)[order]
         self.first = np.searchsorted(inverse.ravel()[order], np.arange(len(self.matrix) + 1))
 
 
-def search_shard(docs: list[tuple[int, list[int]]], phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
-    """(doc, item, first word, words) of the merged hits in one shard of documents given as symbols (1 = other word)."""
-    width = phrases.width
-    pieces, doc_no, offset = [], [], []
-    for no, (_, codes) in enumerate(docs):
-        symbols = np.array(codes, np.int64)
-        edges = np.r_[-1, np.nonzero(symbols == 1)[0], len(symbols)]
-        for a, b in zip(edges[:-1] + 1, edges[1:], strict=True):
-            if b - a >= width:
-                pieces.append(np.r_[symbols[a:b], 1])
-                doc_no.append(no)
-                offset.append(a)
-    if not pieces:
-        return
-    starts = np.r_[0, np.cumsum([len(p) for p in pieces])]
-    index = FMIndex(np.concatenate(pieces), phrases.sigma)
-    low, high = index.search(phrases.matrix)
-    found = np.nonzero(low < high)[0]
-    if not len(found):
-        return
-    n = high[found] - low[found]
-    phrase = np.repeat(found, n)
-    rows = np.repeat(low[found] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    at = index.locate(rows)
-    piece = np.searchsorted(starts, at, side="right") - 1
-    doc, word = np.array(doc_no)[piece], at - starts[piece] + np.array(offset)[piece]
-    per = phrases.first[phrase + 1] - phrases.first[phrase]
-    pick = np.repeat(phrases.first[phrase] - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum())
-    item = phrases.owners[pick, 0]
-    doc, word = np.repeat(doc, per), np.repeat(word, per)
-    order = np.lexsort((word, item, doc))
-    doc, item, word = doc[order], item[order], word[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + width)]
-    last = np.r_[np.nonzero(new)[0][1:] - 1, len(word) - 1]
-    for d, i, a, b in zip(doc[new], item[new], word[new], word[last] + width, strict=True):
-        yield docs[d][0], int(i), int(a), int(b - a)
+class Shard:
+    """The FM-index over the stretches of a shard's documents that consist of item words."""
+
+    def __init__(self, docs: list[tuple[int, np.ndarray]], bitmap: np.ndarray, width: int) -> None:
+        self.docs, self.width = docs, width
+        pieces, doc_no, offset = [], [], []
+        for no, (_, hashes) in enumerate(docs):
+            known = bitmap[(hashes & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)]
+            edges = np.r_[-1, np.nonzero(~known)[0], len(hashes)]
+            for a, b in zip(edges[:-1] + 1, edges[1:], strict=True):
+                if b - a >= width:
+                    pieces.append(hashes[a:b])
+                    doc_no.append(no)
+                    offset.append(a)
+        self.index = None
+        if pieces:
+            lengths = np.array([len(p) for p in pieces])
+            self.starts = np.r_[0, np.cumsum(lengths + 1)]
+            self.doc_no, self.offset = np.array(doc_no), np.array(offset)
+            self.words, codes = np.unique(np.concatenate(pieces), return_inverse=True)
+            text = np.ones(int(self.starts[-1]), np.int64)  # 1 ends a stretch
+            text[np.arange(len(codes)) + np.repeat(np.arange(len(pieces)), lengths)] = codes.ravel() + 2
+            self.index = FMIndex(text, len(self.words) + 2)
+
+    def search(self, phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
+        """(doc, item, first word, words) of the merged hits."""
+        if self.index is None or not len(phrases.matrix):
+            return
+        at = np.minimum(np.searchsorted(self.words, phrases.matrix), len(self.words) - 1)
+        here = np.nonzero((self.words[at] == phrases.matrix).all(axis=1))[0]
+        low, high = self.index.search(at[here] + 2)
+        found = np.nonzero(low < high)[0]
+        if not len(found):
+            return
+        n = high[found] - low[found]
+        phrase = np.repeat(here[found], n)
+        rows = np.repeat(low[found] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        at = self.index.locate(rows)
+        piece = np.searchsorted(self.starts, at, side="right") - 1
+        doc, word = self.doc_no[piece], at - self.starts[piece] + self.offset[piece]
+        per = phrases.first[phrase + 1] - phrases.first[phrase]
+        pick = np.repeat(phrases.first[phrase] - np.r_[0, np.cumsum(per)[:-1]], per) + np.arange(per.sum())
+        item = phrases.owners[pick]
+        doc, word = np.repeat(doc, per), np.repeat(word, per)
+        order = np.lexsort((word, item, doc))
+        doc, item, word = doc[order], item[order], word[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + self.width)]
+        last = np.r_[np.nonzero(new)[0][1:] - 1, len(word) - 1]
+        for d, i, a, b in zip(doc[new], item[new], word[new], word[last] + self.width, strict=True):
+            yield self.docs[d][0], int(i), int(a), int(b - a)
 
 
 def _item_blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
@@ -203,36 +217,42 @@ def leaked_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     runtime.text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col)).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    out = None
+    bitmap = np.zeros(1 << BITMAP_BITS, bool)
+    blocks = []
     for block in _item_blocks(items, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(sent.value, phrase)
-            number = phrases.number.get
-            shard: list[tuple[int, list[int]]] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                rows = list(search_shard(shard, phrases)) if len(phrases.matrix) else []
-                return textcore.to_batch(dict(zip(_HITS.names, zip(*rows, strict=True) if rows else [[]] * 4, strict=True)), _HITS)
-
-            for batch in batches:
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    codes = [number(w, 1) for w in textcore.words(text)]
-                    if len(codes) < phrase:
-                        continue
-                    shard.append((i, codes))
-                    size += len(codes)
-                    if size >= SHARD_WORDS:
-                        yield flush()
-                        shard, size = [], 0
-            if shard:
-                yield flush()
-
-        hits = texts.mapInArrow(search, "doc_id long, item_id long, start_word int, n_words int")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+        for _, text in block:
+            bitmap[(textcore.word_hashes(text) & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)] = True
+        blocks.append(spark.sparkContext.broadcast(block))
+    known = spark.sparkContext.broadcast(np.packbits(bitmap))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.unpackbits(known.value).astype(bool)
+        # The phrases of a single block are kept; of several, one block's at a time.
+        only = Phrases(blocks[0].value, phrase) if len(blocks) == 1 else None
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            shard = Shard(held, used, phrase)
+            for block in blocks:
+                rows = list(shard.search(only or Phrases(block.value, phrase))) if shard.index else []
+                if rows:
+                    yield textcore.to_batch(dict(zip(_HITS.names, zip(*rows, strict=True), strict=True)), _HITS)
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = textcore.word_hashes(text)
+                if len(hashes) < phrase:
+                    continue
+                held.append((i, hashes))
+                size += len(hashes)
+                if size >= SHARD_WORDS:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
+    return texts.mapInArrow(search, "doc_id long, item_id long, start_word int, n_words int").distinct()
 
 
 def leaked_documents(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:

@@ -113,6 +113,11 @@ _SUBWORDS = rf"""v as (select distinct lower(hex(from_base64(split_part(line, '
       from walk join lens on walk.pos + l <= len(walk.h) + 1 left join v on v.w = substr(walk.h, walk.pos, l) group by all)),
   lengths as (select p, max(n) as n from walk where pos > len(h) group by p),
   subwords as (select doc_id, sum(n)::bigint as s from pieces join lengths using (p) group by 1)"""
+_LEAKED = """d as (select doc_id, i, w[i:i+11] as s from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from
+        (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from documents) where len(w) >= 12)),
+      e as (select distinct item_id, w[i:i+11] as s from (select item_id, w, unnest(range(1, len(w) - 10)) as i from
+        (select item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from eval_items) where len(w) >= 12)),
+      hits as (select distinct d.doc_id, e.item_id, d.i from d join e on d.s = e.s)"""
 _SHARED = """g as (select doc_id, i, hash(text[i:i+299]) as h from (select doc_id, text, unnest(range(1, len(text) - 298)) as i from documents where len(text) >= 300)),
   s as (select distinct doc_id, i from g where h in (select h from g group by 1 having min(doc_id) < max(doc_id))),
   n as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 300 then 0 else 1 end as new from s),
@@ -156,11 +161,10 @@ ORACLES = {
       select window_id, doc_id, piece, k as n_pieces, case when k = 0 then 0 when piece < k - 1 then cap else n - cap::bigint * (k - 1) end::bigint as tokens from e""",
     "p8_check": f"""with {_COUNTED} select window_id, sum(n)::bigint as n_tokens, sum((n > capacity_tokens)::int)::bigint as n_split, 0::bigint as n_overfull, true as near_volume
       from counted, token_windows group by 1""",
-    "p9_found": """with d as (select doc_id, w[i:i+11] as s from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from
-        (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from documents) where len(w) >= 12)),
-      e as (select distinct item_id, w[i:i+11] as s from (select item_id, w, unnest(range(1, len(w) - 10)) as i from
-        (select item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from eval_items) where len(w) >= 12))
-      select distinct d.doc_id, e.item_id from d join e on d.s = e.s""",
+    "p9_found": f"with {_LEAKED} select distinct doc_id, item_id from hits",
+    "p9_spans": f"""with {_LEAKED}, n as (select *, case when i <= lag(i) over (partition by doc_id, item_id order by i) + 12 then 0 else 1 end as new from hits),
+      k as (select doc_id, item_id, i, sum(new) over (partition by doc_id, item_id order by i) as k from n)
+      select doc_id, item_id, (min(i) - 1)::int as start_word, (max(i) - min(i) + 12)::int as n_words from k group by doc_id, item_id, k""",
     "p10_spans": f"with {_SHARED} select doc_id, start, length from spans",
     "p10_amounts": f"""with {_SHARED} select d.doc_id, max(coalesce(len(text), 0))::bigint as n_chars, coalesce(sum(length), 0)::bigint as shared_chars, count(length) as n_spans
       from documents d left join spans using (doc_id) group by 1""",

@@ -45,6 +45,17 @@ def test_equals_brute_force(spark, monkeypatch):
     assert run(spark, docs, items, 3) == truth(docs, items, 3)
 
 
+def test_blocks_share_an_index(monkeypatch):
+    """One index, searched block by block, finds what one block finds, also with a bitmap that lets every word pass."""
+    docs, items = corpus(3)
+    held = [(d, textcore.word_hashes(t)) for d, t in docs]
+    everything = np.ones(1 << leakage.BITMAP_BITS, bool)
+    shard = leakage.Shard(held, everything, 4)
+    whole = sorted(shard.search(leakage.Phrases(items, 4)))
+    assert {(d, i) for d, i, _, _ in whole} == set(truth(docs, items, 4))
+    assert sorted(x for k in range(0, 30, 7) for x in shard.search(leakage.Phrases(items[k : k + 7], 4))) == whole
+
+
 def test_spans(spark):
     item = " ".join(f"a{i}" for i in range(20))
     docs = [(1, "x y " + item.upper() + " z"), (2, "b " + " ".join(f"a{i}" for i in range(3, 16)) + "\nc"), (3, " ".join(f"a{i}" for i in range(11))), (4, item + " q " + item)]
