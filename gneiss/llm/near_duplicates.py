@@ -7,8 +7,9 @@ segments the Manhattan distance of two vectors is at most the Hamming distance o
 join within that radius loses nothing:
 
 1. *Fingerprints*: one pass over the texts; records with the same set collapse into one representative.
-2. *Grid range-join*: on the finest grid (one position per segment) a vector occupies one cell per
-   shingle.  Two vectors within the radius agree in at least a share ``t`` of the cells either occupies, so
+2. *Range-join on the finest grid*: on coarse grids, cells of the radius' side separate records hardly more than their lengths do (the
+   README has the figures), so the join runs on the finest one (one position per segment), where a vector
+   occupies one cell per shingle, and with the lowest cells of each record (bottom-k selection).  Two vectors within the radius agree in at least a share ``t`` of the cells either occupies, so
    the ``k`` lowest cells (in one fixed order for all records) of both have one in common but with
    probability ``(1-t)^k``; ``k`` is chosen so that this is below ``MISS`` (1e-9), and records with at most
    ``k`` shingles emit them all, which is exact.  Cells that very many records occupy go last in the
@@ -18,6 +19,8 @@ join within that radius loses nothing:
    beyond the radius are dropped.
 4. *Exact check*: the remaining pairs are compared on the whole sets.
 
+The bounds for hot cells (``HOT_FLOOR``, ``HOT_MEAN``) choose which cells are emitted, never which pairs are found.
+
 Defined results: null or empty content, and fewer than ``width`` words, gives no fingerprint and no pair;
 repeated rows are records of their own (same id twice: counted once); extra columns are ignored; an empty
 table gives an empty result.
@@ -43,6 +46,8 @@ MISS = 1e-9
 POSITION_BITS = 48
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
+#: Sketches merged by one task per round.
+SKETCH_FAN_IN = 16
 #: A counter above HOT_FLOOR + HOT_MEAN * (mean counter) marks its cells as hot.
 HOT_FLOOR = 256
 HOT_MEAN = 2
@@ -114,30 +119,43 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
 
 
 def _occupancy(sets: DataFrame) -> np.ndarray:
-    """Which counters of the occupancy sketch are hot: one bit per counter, a fixed 2^SKETCH_BITS of them."""
+    """Which counters of the occupancy sketch are hot: one bit per counter, a fixed 2^SKETCH_BITS of them.
+
+    Every task sketches its sets; the sketches merge in rounds of ``SKETCH_FAN_IN``, cut into parts, so no task receives
+    more than that many parts.  ``sets`` is a written table, so its partitions are the same each time.
+    """
     part = 1 << (SKETCH_BITS - 4)
+    schema = "task int, part int, counts binary"
+    names = ["task", "part", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        task = 0
         for batch in batches:
-            joined = b"".join(batch.column(0).to_pylist())
-            if joined:
-                total += np.bincount((_unpack(joined) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            if batch.num_rows:
+                task = batch.column(1)[0].as_py()
+                total += np.bincount((_unpack(b"".join(batch.column(0).to_pylist())) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([total[p * part : (p + 1) * part].tobytes() for p in range(SKETCH_PARTS)], pa.binary())], names=["part", "counts"]
+            [pa.array([task] * SKETCH_PARTS, pa.int32()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([total[p * part : (p + 1) * part].tobytes() for p in range(SKETCH_PARTS)], pa.binary())], names=names
         )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[p] = sums.get(p, 0) + np.frombuffer(data, np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "counts"])
+            for task, p, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                sums[task, p] = sums.get((task, p), 0) + np.frombuffer(data, np.uint32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in sums], pa.int32()), pa.array([p for _, p in sums], pa.int32()), pa.array([v.astype(np.uint32).tobytes() for v in sums.values()], pa.binary())], names=names
+        )
 
-    rows = sets.select("bits").mapInArrow(count, "part int, counts binary").repartition(SKETCH_PARTS, "part").mapInArrow(merge, "part int, counts binary").collect()
+    tasks = max(1, sets.rdd.getNumPartitions())
+    level = sets.select("bits", F.spark_partition_id().alias("task")).mapInArrow(count, schema)
+    while tasks > 1:
+        tasks = math.ceil(tasks / SKETCH_FAN_IN)
+        level = level.withColumn("task", F.floor(F.col("task") / SKETCH_FAN_IN).cast("int")).repartition(SKETCH_PARTS * tasks, "task", "part").mapInArrow(merge, schema)
     total = np.zeros((SKETCH_PARTS, part), np.uint64)
-    for row in rows:
-        total[row["part"]] = np.frombuffer(row["counts"], np.uint64)
+    for row in level.collect():
+        total[row["part"]] += np.frombuffer(row["counts"], np.uint32)
     return np.packbits(total.ravel() > HOT_FLOOR + HOT_MEAN * total.mean())
 
 
@@ -163,7 +181,8 @@ def choose_cells(values: np.ndarray, hot: np.ndarray, threshold: float) -> tuple
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, common, n_a, n_b), a < b: the pairs of distinct sets within the threshold, each once.
 
-    ``sets`` has one row per distinct set: id, n, bits, counts.  Counts stop at 255, which keeps the bound.
+    ``sets`` has one row per distinct set: id, n, bits, counts.  Counts stop at 255, which about
+    n/2 segments do not reach.
     """
     mask = _occupancy(sets)
     low = np.uint64((1 << SKETCH_BITS) - 1)
@@ -237,8 +256,11 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "cont
     """(doc_id_a, doc_id_b), a < b: every pair of records whose shingle sets reach the threshold."""
     members, links = _classes(docs, id_col, text_col, width, threshold)
     members = runtime.materialise(members, "members")
+    heavy = runtime.heavy_keys(members, ["rep"])
+    by_a, by_b = (heavy.withColumnRenamed("rep", k) if heavy is not None else None for k in ("a", "b"))
     x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    half = runtime.join_heavy(x, links.select("a", "b"), ["a"], ["x"], by_a)
+    across = runtime.join_heavy(half, y, ["b"], ["x"], by_b).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     mates = members.groupBy("rep").agg(F.count("*").alias("c")).filter("c > 1").select("rep")
     own = members.join(mates, "rep", "left_semi")

@@ -140,6 +140,11 @@ def _near_sql(name: str, col: str, dim: int) -> str:
 
 
 ORACLES = {
+    "p1_groups": f"""with recursive {_SHINGLES}, pairs as (select x, y, c = a.n and c = b.n as same from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y where c >= 0.6 * (a.n + b.n - c) - 1e-9),
+      two as (select x, y, same from pairs union all select y, x, same from pairs),
+      reach as (select doc_id as x, doc_id as y from sizes union select reach.x, two.y from reach join two on reach.y = two.x),
+      parts as (select x as doc_id, min(y) as group_id from reach group by 1)
+      select p.doc_id, coalesce(min(case when same then least(y, p.doc_id) end), p.doc_id) as class_id, group_id, count(y) as n_links from parts p left join two on two.x = p.doc_id group by p.doc_id, group_id""",
     "p1_found": f"""with {_SHINGLES} select x as doc_id_a, y as doc_id_b from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y
       where c >= 0.6 * (a.n + b.n - c) - 1e-9""",
     "p2_by_path": r"""select distinct doc_id, case when regexp_matches(p, '(^|/)(generated-sources|generated-src|build/generated|__generated__)/|[._](pb|pb2|pb2_grpc|g|designer|generated)\.[a-z0-9_]+$')

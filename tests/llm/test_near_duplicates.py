@@ -54,6 +54,8 @@ def test_equals_brute_force(spark):
 def test_hot_cells_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nd, "HOT_FLOOR", 3)
     monkeypatch.setattr(nd, "HOT_MEAN", 0)
+    monkeypatch.setattr(nd, "SKETCH_FAN_IN", 2)
+    monkeypatch.setattr(nd.runtime.heavy_keys, "__defaults__", (3,))
     rows = corpus(2, 120, 60)
     assert pairs(nd.similar_pairs(frame(spark, rows), threshold=0.6)) == truth(rows, 0.6)
 
