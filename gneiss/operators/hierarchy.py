@@ -93,8 +93,11 @@ def hierarchy(nodes: DataFrame, paths: bool = True, heavy_rows: int = runtime.HE
         live = after.filter("gone is null").drop("gone")
     parts = [runtime.materialise(live.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")), "done")]
     for after in reversed(records):
-        for how in ("bypassed", "raked"):
-            parts.append(runtime.materialise(_undo(after.filter(F.col("gone") == how).drop("gone"), reduce(DataFrame.unionByName, parts), heavy), "done"))
+        # Of one round, the nodes raked hang below those bypassed or below older ones.
+        done = reduce(DataFrame.unionByName, parts)
+        bypassed, raked = (after.filter(F.col("gone") == how).drop("gone") for how in ("bypassed", "raked"))
+        back = _undo(bypassed, done, heavy)
+        parts.append(runtime.materialise(back.unionByName(_undo(raked, done.unionByName(back), heavy)), "done"))
     done = reduce(DataFrame.unionByName, parts)
     linked = done.select("node", "root", "depth", F.when(F.lit(paths), F.col("path")).alias("path"), F.col("root").isNull().alias("in_loop"))
     roots = nodes.filter("node is not null").select("node").join(done.select("node"), "node", "left_anti")
