@@ -38,7 +38,7 @@ def candidate_graph(pairs: DataFrame, topology: DataFrame, intents: DataFrame, p
     """
     more = topology.select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = more.join(intents.select(F.col("node").alias("a"), F.col("vec").alias("va")), "a").join(intents.select(F.col("node").alias("b"), F.col("vec").alias("vb")), "b")
-    every = pairs.select("a", "b", "sim").unionByName(more.select("a", "b", vectors.dot("va", "vb").alias("sim")))
+    every = pairs.select("a", "b", "sim").unionByName(more.select("a", "b", F.round(vectors.dot("va", "vb"), 9).alias("sim")))
     called = topology.select("a", "b", F.lit(1.0).alias("t"))
     scored = every.join(paths.select(F.col("node").alias("a"), F.col("path").alias("pa")), "a").join(paths.select(F.col("node").alias("b"), F.col("path").alias("pb")), "b").join(called, ["a", "b"], "left")
     weight = alpha * F.coalesce("t", F.lit(0.0)) + beta * F.greatest(F.lit(0.0), F.col("sim")) + gamma * text.path_prior("pa", "pb")
@@ -79,10 +79,57 @@ def stability(before: DataFrame, after: DataFrame, window: int = 50) -> float |
     return numbered.join(other, "i").agg(F.count("*").alias("pairs"), F.round(F.avg(alike), 6).alias("stability"))
 
 
+def sweep(graph: DataFrame, nodes: DataFrame, resolutions: list[float], previous: DataFrame | None = None) -> tuple[DataFrame, dict[float, DataFrame]]:
+    """One run record per resolution, and the memberships (node, community) of each.
+
+    A record is (resolution, n_communities, n_singletons, avg_cohesion, stability, objective, selected); the objective is 0.55 *
+    mean cohesion + 0.30 * stability against ``previous`` (0 without one) - 0.15 * share of singletons.  The best is
+    selected, the first of equal ones in the order given.
+    """
+    records, members = None, {}
+    for i, x in enumerate(resolutions):
+        members[x] = runtime.materialise(communities(graph, nodes, x), "members")
+        stats = cohesion(members[x], graph).agg(F.count("*").alias("n_communities"), F.sum((F.col("size") == 1).cast("long")).alias("n_singletons"), F.avg("cohesion").alias("avg_cohesion"))
+        alike = stability(previous, members[x]).select("stability") if previous is not None else graph.sparkSession.createDataFrame([(0.0,)], "stability double")
+        row = stats.crossJoin(F.broadcast(alike)).select(F.lit(i).alias("i"), F.lit(float(x)).alias("resolution"), "n_communities", F.coalesce("n_singletons", F.lit(0)).alias("n_singletons"), F.coalesce("avg_cohesion", F.lit(0.0)).alias("avg_cohesion"), F.coalesce("stability", F.lit(0.0)).alias("stability"))
+        records = row if records is None else records.unionByName(row)
+    value = F.round(0.55 * F.col("avg_cohesion") + 0.30 * F.col("stability") - 0.15 * F.col("n_singletons") / F.greatest(F.lit(1), F.col("n_communities")), 5)
+    # One row per resolution given, so the window over all of them is small.
+    first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("objective"), "i"))
+    scored = records.withColumn("objective", value).withColumn("selected", first == 1)
+    return scored.select("resolution", "n_communities", "n_singletons", F.round("avg_cohesion", 6).alias("avg_cohesion"), "stability", "objective", "selected"), members
+
+
+def record_run(history: DataFrame | None, run_id: str, members: DataFrame, objective: float, selected: bool, created_at: object) -> DataFrame:
+    """(run_id, node, community, objective, selected, created_at): the history with the memberships of the run put in
+    the place of those it had under the same id."""
+    rows = members.select(F.lit(run_id).alias("run_id"), "node", "community", F.lit(float(objective)).alias("objective"), F.lit(selected).alias("selected"), F.lit(created_at).cast("timestamp").alias("created_at"))
+    return rows if history is None else history.filter(F.col("run_id") != run_id).unionByName(rows)
+
+
+def latest_selected(history: DataFrame) -> DataFrame:
+    """(node, community) of the selected run that was recorded last; the greater id of runs of one time."""
+    last = history.filter("selected").agg(F.max(F.struct("created_at", "run_id")).alias("last")).select(F.col("last.run_id").alias("run_id"))
+    return history.join(F.broadcast(last), "run_id", "left_semi").select("node", "community")
+
+
+def community_summary(members: DataFrame, graph: DataFrame, intents: DataFrame) -> DataFrame:
+    """(community, size, cohesion, role, summary, tags): what the community store keeps of each community.
+
+    ``intents`` is (node, role, tags): ``tags`` are the distinct tags of the members, in order.
+    """
+    role = dominant(members, intents.select("node", "role"))
+    tags = members.join(intents, "node", "left").select("community", F.explode_outer("tags").alias("t")).groupBy("community").agg(F.sort_array(F.collect_set("t")).alias("tags"))
+    joined = cohesion(members, graph).join(role, "community", "left").join(tags, "community", "left")
+    summary = F.concat(F.lit("Community of "), F.col("size").cast("string"), F.lit(" functions, mostly "), F.coalesce("role", F.lit("unknown")))
+    return joined.select("community", "size", "cohesion", "role", summary.alias("summary"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+
+
 def isolated_types(nodes: DataFrame, similarity: DataFrame) -> DataFrame:
     """(node_id, isolated_type, confidence) of nodes without edges.
 
-    ``similarity`` is (node_id, sim), the mean of the five largest similarities; 0 where it is missing.
+    ``similarity`` is (node_id, sim), the mean of the five largest similarities; 0 where it is missing.  Fixed values: the
+    types, their scores and limits.
     """
     sim = F.coalesce("sim", F.lit(0.0))
     alone = nodes.filter("fan_in + fan_out = 0").join(similarity, "node_id", "left").withColumn("sim", sim)
@@ -100,35 +147,61 @@ def isolated_types(nodes: DataFrame, similarity: DataFrame) -> DataFrame:
     return scored.select("node_id", F.when(unsure, "Uncertain").otherwise(F.col("r")[0]["t"]).alias("isolated_type"), F.least(F.lit(1.0), F.when(unsure, F.greatest("best", F.lit(0.45))).otherwise(F.col("best"))).alias("confidence"))
 
 
-def repair_candidates(isolated: DataFrame, others: DataFrame, top: int = 2, least: float = 0.58) -> DataFrame:
-    """(src_node, dst_node, score, confidence): the most similar other nodes of each isolated one.
+def repair_edges(lost: DataFrame, others: DataFrame, existing: DataFrame, top: int = 6, least: float = 0.58, most_edges: int = 3) -> DataFrame:
+    """(src_node, dst_node, confidence, source): call edges proposed for isolated nodes, in both directions.
 
-    ``isolated`` and ``others`` are (node, vec, path); the isolated side is the query set and is sent to blocks of the others.
+    ``lost`` and ``others`` are (node, vec, path).  The candidates of a node are the ``top`` best others by 0.85 * cosine (0 at
+    least) + 0.15 * common path, at or above ``least``; each takes two edges, the reverse one with 0.9 of the confidence,
+    until ``most_edges`` are reached.  Edges that ``existing`` (src_node, dst_node) has are left out; a forward edge goes
+    before a reverse one between the same nodes, and the more confident before the less.
     """
-    q = isolated.select(F.col("node").alias("src_node"), F.col("vec").alias("qv"), F.col("path").alias("qp"))
-    pairs = others.join(q, F.col("node") != F.col("src_node"))
-    score = F.round(0.85 * F.greatest(F.lit(0.0), vectors.dot("vec", "qv")) + 0.15 * text.path_prior("path", "qp"), 6)
-    kept = pairs.select("src_node", F.col("node").alias("dst_node"), score.alias("score")).filter(F.col("score") >= least)
-    ranked = kept.withColumn("r", F.row_number().over(Window.partitionBy("src_node").orderBy(F.desc("score"), "dst_node"))).filter(F.col("r") <= top)
-    return ranked.select("src_node", "dst_node", "score", F.round(F.least(F.lit(0.69), 0.25 + 0.4 * F.col("score")), 6).alias("confidence"))
+    near = vectors.nearest_vectors(others, min(top, -(-most_edges // 2)), lost, 0.85, 0.15, True, 6).filter(F.col("sim") >= least)
+    confidence = F.least(F.lit(0.69), 0.25 + 0.4 * F.col("sim"))
+    forward = near.select(F.col("node").alias("src_node"), F.col("neighbour").alias("dst_node"), F.round(confidence, 6).alias("confidence"), F.lit(0).alias("order"))
+    back = near.select(F.col("neighbour").alias("src_node"), F.col("node").alias("dst_node"), F.round(0.9 * confidence, 6).alias("confidence"), F.lit(1).alias("order"))
+    best = forward.unionByName(back).groupBy("src_node", "dst_node").agg(F.min(F.struct("order", (-F.col("confidence")).alias("m"))).alias("x"))
+    new = best.join(existing.select("src_node", "dst_node").distinct(), ["src_node", "dst_node"], "left_anti")
+    return new.select("src_node", "dst_node", (-F.col("x.m")).alias("confidence"), F.when(F.col("x.order") == 0, "repair_missing_edge").otherwise("repair_missing_edge_reverse").alias("source"))
+
+
+#: Community of everything that lies outside.
+EXTERNAL = "intent:community:ExternalBoundary"
+#: Least scores for an assignment, by isolated type; other types take the first.
+ASSIGN_LEAST = {"": 0.55, "Uncertain": 0.65, "Entrypoint": 0.60}
+
 
+def assign_isolated(isolated: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, community, score, mode): the community of every isolated node that gets one.
 
-def singleton_assignments(singles: DataFrame, members: DataFrame, edges: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """(node, community, score): the community that fits each single node best, at or above the threshold.
+    ``isolated`` is (node, vec, path, isolated_type), ``members`` (node, community, vec, path).  A boundary node goes to the
+    virtual community ``EXTERNAL``; a true leaf or noise gets none; any other goes to the community with the best 0.6 * mean
+    cosine + 0.3 * share of its calls + 0.1 * best common path (the lesser id of equals), at or above its least score.
 
-    The mean similarity to a community is the similarity to its mean vector, and path priors need one row per distinct
-    path, so a node meets communities, not their members.  ``singles`` is (node, vec, path), ``members`` (node, community, vec, path).
+    The mean cosine to a community is the product with its mean vector, so a node meets one row per community and distinct
+    path, in blocks; communities it has calls to, the only ones where the second term counts, are scored apart.
     """
     place = members.select("community", F.posexplode("vec").alias("i", "x")).groupBy("community", "i").agg(F.avg("x").alias("x"))
     centre = place.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("centre"))
-    s = singles.select("node", "vec", F.col("path").alias("p"))
-    near = centre.crossJoin(s).select("node", "community", vectors.dot("vec", "centre").alias("mean"))
-    prior = members.select("community", F.col("path").alias("q")).distinct().crossJoin(s.select("node", "p")).groupBy("node", "community").agg(F.max(text.path_prior("p", "q")).alias("prior"))
-    size = edges.filter("edge_type = 'calls'").select(F.col("src_node").alias("node"), F.col("dst_node").alias("m")).unionByName(edges.filter("edge_type = 'calls'").select(F.col("dst_node").alias("node"), F.col("src_node").alias("m")))
-    degree = size.join(singles.select("node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("degree"))
-    links = size.join(singles.select("node"), "node", "left_semi").join(members.select(F.col("node").alias("m"), "community"), "m").groupBy("node", "community").agg(F.count("*").alias("links"))
-    scored = near.join(prior, ["node", "community"]).join(links, ["node", "community"], "left").join(degree, "node", "left")
-    topo = F.coalesce("links", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("degree", F.lit(0)))
-    score = F.round(0.6 * F.col("mean") + 0.3 * topo + 0.1 * F.col("prior"), 6)
-    best = scored.select("node", "community", score.alias("score")).groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("m"), "community")).alias("b"))
-    return best.select("node", F.col("b.community").alias("community"), (-F.col("b.m")).alias("score")).filter(F.col("score") >= threshold)
+    centre = runtime.materialise(centre, "centres")
+    paths = runtime.materialise(members.select("community", "path").distinct(), "paths")
+    open_ = runtime.materialise(isolated.filter(~F.col("isolated_type").isin("BoundaryExternal", "TrueLeaf", "NoiseNode")), "open")
+    split = "\u0001"
+    rows = paths.join(centre, "community").select(F.concat("community", F.lit(split), F.coalesce("path", F.lit(""))).alias("node"), F.col("centre").alias("vec"), "path")
+    apart = vectors.nearest_vectors(rows, 1, open_.select("node", "vec", "path"), 0.6, 0.1, False, 6)
+    apart = apart.select("node", F.substring_index("neighbour", split, 1).alias("community"), F.col("sim").alias("score"))
+    calls = edges.filter("edge_type = 'calls'")
+    ends = calls.select(F.col("src_node").alias("node"), F.col("dst_node").alias("m")).unionByName(calls.select(F.col("dst_node").alias("node"), F.col("src_node").alias("m")))
+    own = runtime.materialise(ends.join(open_.select("node"), "node", "left_semi"), "ends")
+    degree = own.groupBy("node").agg(F.count("*").alias("degree"))
+    links = own.join(members.select(F.col("node").alias("m"), "community"), "m").groupBy("node", "community").agg(F.count("*").alias("links"))
+    met = links.join(degree, "node").join(open_.select("node", "vec", F.col("path").alias("p")), "node").join(centre, "community")
+    prior = met.select("node", "community", "p").join(paths, "community").groupBy("node", "community").agg(F.max(text.path_prior("p", "path")).alias("prior"))
+    score = 0.6 * vectors.dot("vec", "centre") + 0.3 * F.col("links") / F.greatest(F.lit(1), F.col("degree")) + 0.1 * F.coalesce("prior", F.lit(0.0))
+    linked = met.join(prior, ["node", "community"], "left").select("node", "community", F.round(score, 6).alias("score"))
+    best = apart.unionByName(linked).groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("m"), "community")).alias("b"))
+    least = F.lit(ASSIGN_LEAST[""])
+    for kind, x in ASSIGN_LEAST.items():
+        least = F.when(F.col("isolated_type") == kind, x).otherwise(least) if kind else least
+    forced = best.join(open_.select("node", "isolated_type"), "node").withColumn("score", -F.col("b.m")).filter(F.col("score") >= least)
+    outside = isolated.filter("isolated_type = 'BoundaryExternal'").select("node", F.lit(EXTERNAL).alias("community"), F.lit(1.0).alias("score"), F.lit("external_boundary").alias("mode"))
+    return forced.select("node", F.col("b.community").alias("community"), "score", F.lit("forced").alias("mode")).unionByName(outside)

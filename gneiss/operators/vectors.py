@@ -43,42 +43,53 @@ def missing(chunks: DataFrame, embedded: DataFrame, id_col: str = "chunk_id", ve
     return chunks.join(have.select(id_col), id_col, "left_anti")
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 20) -> DataFrame:
-    """(node, neighbour, sim, rank): the k most similar other nodes of every node, exactly.
+def path_prefixes(path: Column | str, depth: int = 4) -> Column:
+    """Hashes of the first 1..``depth`` segments of a path, 0 where it has fewer (or is null)."""
+    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
+    return F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda i: F.when(F.size(parts) >= i, F.xxhash64(F.array_join(F.slice(parts, 1, i), "\u0000"))).otherwise(F.lit(0)).cast("long"))
 
-    ``vectors`` is (node, vec), one row per node, unit vectors of one length.  The similarity is the inner product rounded
-    to 9 decimals, equal ones ranked by id.  Every block of queries meets all blocks of vectors in the order of their ids and
-    keeps its best ``k`` on the way, so a task holds two blocks and nothing is merged afterwards; work is quadratic.
+
+def nearest_vectors(vectors: DataFrame, k: int = 20, queries: DataFrame | None = None, cosine: float = 1.0, prior: float = 0.0, clip: bool = False, digits: int = 9) -> DataFrame:
+    """(node, neighbour, sim, rank): the k most similar other nodes of every node of ``queries`` (or of all), exactly.
+
+    ``vectors`` and ``queries`` are (node, vec), one row per node, vectors of one length, and with ``prior`` also path.  The
+    similarity is ``cosine`` times the inner product (with ``clip`` not below 0) plus ``prior`` times the share of the first
+    four path segments in common, rounded to ``digits`` decimals, equal ones ranked by id.  Every block of queries meets all
+    blocks of vectors in the order of their ids and keeps its best ``k`` on the way, so a task holds two blocks, no pair
+    is ever written, and nothing is merged afterwards; work is the product of both sides.
     """
-    rows = runtime.materialise(vectors.select("node", "vec").filter("node is not null and vec is not null"), "vectors")
-    n = rows.count()
+    wanted = ["node", "vec", (path_prefixes("path") if prior else F.array().cast("array<bigint>")).alias("prefixes")]
+    every = runtime.materialise(vectors.filter("node is not null and vec is not null").select(*wanted), "vectors")
+    asking = every if queries is None else runtime.materialise(queries.filter("node is not null and vec is not null").select(*wanted), "queries")
+
+    def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+        n = rows.count()
 
-    def packed(size: int) -> DataFrame:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nodes: list[str] = []
-            vecs: list[list[float]] = []
+            held: tuple[list, list, list] = ([], [], [])
 
             def block(n: int) -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[0]], pa.string()), pa.array([nodes[:n]], pa.list_(pa.string())), pa.array([np.array(vecs[:n], np.float64).tobytes()], pa.binary())], names=["first", "nodes", "data"]
-                )
-                del nodes[:n], vecs[:n]
-                return out
+                nodes, vecs, prefixes = (x[:n] for x in held)
+                for x in held:
+                    del x[:n]
+                columns = [pa.array([nodes[0]], pa.string()), pa.array([nodes], pa.list_(pa.string())), *(pa.array([np.array(x, t).tobytes()], pa.binary()) for x, t in ((vecs, np.float64), (prefixes, np.int64)))]
+                return pa.RecordBatch.from_arrays(columns, names=["first", "nodes", "data", "prefixes"])
 
             for batch in batches:
-                nodes += batch.column(0).to_pylist()
-                vecs += batch.column(1).to_pylist()
-                while len(nodes) >= size:
+                for x, column in zip(held, batch.columns, strict=True):
+                    x += column.to_pylist()
+                while len(held[0]) >= size:
                     yield block(size)
-            if nodes:
-                yield block(len(nodes))
+            if held[0]:
+                yield block(len(held[0]))
 
         ordered = rows.repartitionByRange(max(1, -(-n // size)), "node").sortWithinPartitions("node")
-        return runtime.materialise(ordered.mapInArrow(pack, "first string, nodes array<string>, data binary"), "blocks")
+        return runtime.materialise(ordered.mapInArrow(pack, "first string, nodes array<string>, data binary, prefixes binary"), "blocks"), n
 
-    queries = packed(QUERY_BLOCK)
-    asked = queries.select(F.col("first").alias("q"), F.lit(0).alias("role"), "first", "nodes", "data")
-    met = packed(BLOCK).crossJoin(queries.select(F.col("first").alias("q"))).select("q", F.lit(1).alias("role"), "first", "nodes", "data")
+    blocks, n = packed(asking, QUERY_BLOCK)
+    payload = ["first", "nodes", "data", "prefixes"]
+    asked = blocks.select(F.col("first").alias("q"), F.lit(0).alias("role"), *payload)
+    met = packed(every, BLOCK)[0].crossJoin(blocks.select(F.col("first").alias("q"))).select("q", F.lit(1).alias("role"), *payload)
     # Without a number of partitions small blocks would be put together in one task.
     width = max(1, min(-(-n // QUERY_BLOCK), runtime.shuffle_width(vectors.sparkSession)))
     ordered = asked.unionByName(met).repartition(width, "q").sortWithinPartitions("q", "role", "first")
@@ -88,13 +99,13 @@ def nearest_vectors(vectors: DataFrame, k: int = 20) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 nodes = np.array(batch.column(3)[i].as_py(), object)
-                data = np.frombuffer(batch.column(4)[i].as_py()).reshape(len(nodes), -1)
+                data, prefixes = (np.frombuffer(batch.column(c)[i].as_py(), t).reshape(len(nodes), -1) for c, t in ((4, np.float64), (5, np.int64)))
                 if batch.column(1)[i].as_py() == 0:
                     if held is not None:
                         yield held.rows()
-                    held = _Best(nodes, data, k)
+                    held = _Best(nodes, data, prefixes, k, (cosine, prior, clip, digits))
                 else:
-                    held.meet(nodes, data)
+                    held.meet(nodes, data, prefixes)
         if held is not None:
             yield held.rows()
 
@@ -104,16 +115,30 @@ def nearest_vectors(vectors: DataFrame, k: int = 20) -> DataFrame:
 class _Best:
     """The best ``k`` neighbours of a block of queries among the blocks met so far, which come in the order of their ids."""
 
-    def __init__(self, nodes: np.ndarray, data: np.ndarray, k: int) -> None:
-        self.nodes, self.data, self.k, self.at = nodes, data, k, {x: i for i, x in enumerate(nodes)}
+    def __init__(self, nodes: np.ndarray, data: np.ndarray, prefixes: np.ndarray, k: int, measure: tuple[float, float, bool, int] = (1.0, 0.0, False, 9)) -> None:
+        self.nodes, self.data, self.prefixes, self.k, self.at = nodes, data, prefixes, k, {x: i for i, x in enumerate(nodes)}
+        self.measure = measure
         self.sim = np.full((len(nodes), k), -np.inf)
         self.name = np.full((len(nodes), k), None, object)
 
-    def meet(self, nodes: np.ndarray, data: np.ndarray) -> None:
+    def _scores(self, a: int, b: int, data: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+        cosine, prior, clip, digits = self.measure
+        s = self.data[a:b] @ data.T
+        if clip:
+            s = np.maximum(s, 0.0)
+        s *= cosine
+        if prior:
+            depth = prefixes.shape[1]
+            for level in range(depth):
+                own = self.prefixes[a:b, level][:, None]
+                s += prior / depth * ((own == prefixes[:, level]) & (own != 0))
+        return np.round(s, digits) + 0.0
+
+    def meet(self, nodes: np.ndarray, data: np.ndarray, prefixes: np.ndarray) -> None:
         own = np.array([self.at.get(x, -1) for x in nodes], np.int64)
         for a in range(0, len(self.nodes), STEP):
             b = min(a + STEP, len(self.nodes))
-            s = np.round(self.data[a:b] @ data.T, 9) + 0.0
+            s = self._scores(a, b, data, prefixes)
             here = np.nonzero((own >= a) & (own < b))[0]
             s[own[here] - a, here] = -np.inf
             # A later node never displaces an equal one, as ids only grow.

@@ -13,6 +13,8 @@ from gneiss.plans.canonical import with_sql
 from gneiss.runtime import materialise
 
 _LEAST = 0.35
+_FINE = 0.6
+_SURE_CALLS = "edge_type = 'calls' and confidence >= 0.95"
 
 
 def g_nodes(s: SparkSession, d: str) -> DataFrame:
@@ -107,22 +109,22 @@ def g_metrics(s: SparkSession, d: str) -> DataFrame:
     return m.agg(F.count("*").alias("n_communities"), F.sum((F.col("n") == 1).cast("long")).alias("n_singletons"), F.sum("n").alias("n_nodes"), F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("singleton_ratio"))
 
 
-def _runs(s: SparkSession, d: str, g: DataFrame) -> list[DataFrame]:
-    f = _functions(s, d)
-    return [com.communities(g, f, x) for x in (_LEAST, 0.45)]
-
-
 def g_stability(s: SparkSession, d: str) -> DataFrame:
-    return com.stability(*_runs(s, d, _graph(s, d)))
+    g, f = _graph(s, d), _functions(s, d)
+    return com.stability(*(com.communities(g, f, x) for x in (_LEAST, 0.45)))
 
 
 def g_objective(s: SparkSession, d: str) -> DataFrame:
-    """Per resolution: 0.55 * mean cohesion - 0.15 * share of singletons, best first."""
-    g, out = _graph(s, d), None
-    for x, m in zip((_LEAST, 0.45), _runs(s, d, g), strict=True):
-        k = com.cohesion(m, g).agg(F.round(0.55 * F.avg("cohesion") - 0.15 * F.avg((F.col("size") == 1).cast("double")), 5).alias("objective")).select(F.lit(x).alias("resolution"), "objective")
-        out = k if out is None else out.unionByName(k)
-    return out
+    """The run records of two resolutions, against an earlier run with another; the better one is selected."""
+    g, f = _graph(s, d), materialise(_functions(s, d), "functions")
+    return com.sweep(g, f, [_LEAST, 0.45], com.communities(g, f, 0.4))[0]
+
+
+def g_summary(s: SparkSession, d: str) -> DataFrame:
+    """What the community store keeps of each community."""
+    g = _graph(s, d)
+    labels = c.intents(s, d).select(F.col("node_id").alias("node"), F.col("role_in_chain").alias("role"), F.from_json("intent_tags_json", "array<string>").alias("tags"))
+    return com.community_summary(com.communities(g, _functions(s, d), _LEAST), g, labels).withColumn("tags", F.array_join("tags", ","))
 
 
 def g_intent_roles(s: SparkSession, d: str) -> DataFrame:
@@ -144,16 +146,15 @@ def j_neighbour_context(s: SparkSession, d: str) -> DataFrame:
 
 def _similarity(s: SparkSession, d: str, alone: DataFrame) -> DataFrame:
     """Mean of the five largest similarities of the isolated nodes that have a vector to all functions."""
-    f = _functions(s, d).select("node", "vec")
-    q = f.join(alone.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("node").alias("node_id"), F.col("vec").alias("qv"))
-    pairs = f.join(q, F.col("node") != F.col("node_id")).select("node_id", F.round(vectors.dot("vec", "qv"), 9).alias("sim"), "node")
-    top = pairs.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("sim"), "node"))).filter("r <= 5")
-    return top.groupBy("node_id").agg(F.round(F.avg("sim"), 6).alias("sim"))
+    f = materialise(_functions(s, d).select("node", "vec"), "functions")
+    asked = f.join(alone.select(F.col("node_id").alias("node")), "node", "left_semi")
+    near = vectors.nearest_vectors(f, 5, asked)
+    return near.groupBy(F.col("node").alias("node_id")).agg(F.round(F.avg("sim"), 6).alias("sim"))
 
 
-def _alone(s: SparkSession, d: str) -> DataFrame:
-    """Current nodes of every type that no edge of any type touches."""
-    deg = graph.degrees(c.nodes(s, d), c.edges(s, d)).filter("fan_in + fan_out = 0")
+def _alone(s: SparkSession, d: str, edges: str = "true") -> DataFrame:
+    """Current nodes that no edge (of the condition) touches."""
+    deg = graph.degrees(c.nodes(s, d), c.edges(s, d).filter(edges)).filter("fan_in + fan_out = 0")
     return c.nodes(s, d).select("node_id", "path").join(deg, "node_id")
 
 
@@ -162,21 +163,42 @@ def g_isolated(s: SparkSession, d: str) -> DataFrame:
     return com.isolated_types(alone, _similarity(s, d, alone))
 
 
+def g_isolated_calls(s: SparkSession, d: str) -> DataFrame:
+    """Classified anew over calls alone, as for a repair, and of these over the sure ones."""
+    alone = materialise(_alone(s, d, _SURE_CALLS), "alone")
+    return com.isolated_types(alone, _similarity(s, d, alone))
+
+
+def _classified(s: SparkSession, d: str) -> DataFrame:
+    """(node, vec, path, isolated_type) of the functions that no sure call touches."""
+    kinds = g_isolated_calls(s, d).select(F.col("node_id").alias("node"), "isolated_type")
+    return materialise(_functions(s, d).join(kinds, "node"), "classified")
+
+
 def g_repair(s: SparkSession, d: str) -> DataFrame:
-    """Edges proposed for the isolated nodes classified as MissingEdge."""
-    f = _functions(s, d)
-    lost = g_isolated(s, d).filter("isolated_type = 'MissingEdge'")
-    return com.repair_candidates(f.join(lost.select(F.col("node_id").alias("node")), "node", "left_semi"), f)
+    """Edges proposed for the functions classified as MissingEdge."""
+    lost = _classified(s, d).filter("isolated_type = 'MissingEdge'").select("node", "vec", "path")
+    return com.repair_edges(lost, _functions(s, d), c.edges(s, d).filter("edge_type = 'calls'"))
 
 
 def g_singletons(s: SparkSession, d: str) -> DataFrame:
+    """Communities of the functions that no sure call touches, among the communities of two or more others."""
     f = materialise(_functions(s, d), "functions")
-    m = com.communities(_graph(s, d), f, _LEAST)
-    size = m.groupBy("community").agg(F.count("*").alias("n"))
-    grouped = m.join(size, "community")
-    single = grouped.filter("n = 1").select("node")
-    members = grouped.filter("n > 1").select("node", "community").join(f, "node")
-    return com.singleton_assignments(f.join(single, "node", "left_semi"), members, c.edges(s, d))
+    m = com.communities(_graph(s, d), f, _FINE)
+    lone = _classified(s, d)
+    inside = m.join(lone.select("node"), "node", "left_anti")
+    large = inside.groupBy("community").agg(F.count("*").alias("n")).filter("n > 1").select("community")
+    return com.assign_isolated(lone, inside.join(large, "community").join(f, "node"), c.edges(s, d))
+
+
+def g_ratios(s: SparkSession, d: str) -> DataFrame:
+    """Shares of isolated, uncertain and forced nodes among all current ones, by calls."""
+    kinds, forced = g_isolated_calls(s, d), g_singletons(s, d).agg(F.count("*").alias("n_forced"))
+    n = c.nodes(s, d).agg(F.count("*").alias("n_nodes"))
+    k = kinds.agg(F.count("*").alias("n_isolated"), F.sum((F.col("isolated_type") == "Uncertain").cast("long")).alias("n_uncertain"))
+    joined = n.crossJoin(F.broadcast(k)).crossJoin(F.broadcast(forced))
+    share = lambda x, y: F.round(F.coalesce(F.col(x), F.lit(0)) / F.greatest(F.lit(1), F.col(y)), 6).alias(x.replace("n_", "") + "_ratio")
+    return joined.select("n_nodes", "n_isolated", "n_uncertain", "n_forced", share("n_isolated", "n_nodes"), share("n_uncertain", "n_isolated"), share("n_forced", "n_isolated"))
 
 
 def g_seed_nodes(s: SparkSession, d: str) -> DataFrame:
@@ -199,7 +221,7 @@ def g_explore(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     g_nodes, g_belongs_to, g_relation_edges, g_occurrence_edges, g_degrees, g_degrees_calls, g_khop, g_subgraph, g_components, g_edge_ids, g_topology, g_candidate_graph, g_communities, g_cohesion,
-    g_dominant_role, g_metrics, g_stability, g_objective, g_intent_roles, j_neighbour_context, g_isolated, g_repair, g_singletons, g_seed_nodes, g_explore,
+    g_dominant_role, g_metrics, g_stability, g_objective, g_intent_roles, j_neighbour_context, g_summary, g_isolated, g_isolated_calls, g_repair, g_singletons, g_ratios, g_seed_nodes, g_explore,
 )}
 
 _INSIDE = "(r.line > w.sl or (r.line = w.sl and r.col >= w.sc)) and (r.line < w.el or (r.line = w.el and r.col <= w.ec))"
@@ -214,8 +236,9 @@ _HOPS = """bo as (select src_node as a, dst_node as b from e where edge_type = '
 _F = """f as (select i.node_id as node, v as vec, n.path from (select node_id, try_cast(semantic_vec_json as double[]) as v from i) i join n on n.node_id = i.node_id where len(v) = 32 and len(list_filter(v, lambda x: x is null)) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
   topo as (select distinct least(src_node, dst_node) as a, greatest(src_node, dst_node) as b from e where edge_type = 'calls' and src_node <> dst_node and src_node in (select node from f) and dst_node in (select node from f))"""
 _PRIOR = "least(1.0::double, len(list_filter(range(1, 1 + least(len(string_split({a}, '/')), len(string_split({b}, '/')))), lambda k: string_split({a}, '/')[1:k] = string_split({b}, '/')[1:k])) / 4.0)::double"
-_G = f"""{_F}, fd as (select node, regexp_extract(path, '^(.*)/', 1) as dir from f), pr as (select x.node as a, y.node as b from fd x join fd y on x.dir = y.dir and x.node < y.node union select a, b from topo),
-  g as (select * from (select pr.a, pr.b, round(0.5::double * (t.a is not null)::int + 0.4::double * greatest(0.0, list_inner_product(x.vec, y.vec)) + 0.1::double * {_PRIOR.format(a='x.path', b='y.path')}, 6) as weight
+_NEAR = """nb as (select x.node as q, y.node as c, round(list_inner_product(x.vec, y.vec), 9) as sim, row_number() over (partition by x.node order by round(list_inner_product(x.vec, y.vec), 9) desc, y.node) as r from f x join f y on x.node <> y.node)"""
+_G = f"""{_F}, {_NEAR}, pr as (select distinct least(q, c) as a, greatest(q, c) as b from nb where r <= 20 union select a, b from topo),
+  g as (select * from (select pr.a, pr.b, round(0.5::double * (t.a is not null)::int + 0.4::double * greatest(0.0, round(list_inner_product(x.vec, y.vec), 9)) + 0.1::double * {_PRIOR.format(a='x.path', b='y.path')}, 6) as weight
     from pr join f x on x.node = pr.a join f y on y.node = pr.b left join topo t on t.a = pr.a and t.b = pr.b) where weight > 0.05)"""
 
 
@@ -226,7 +249,19 @@ def _comm(name: str, least: float) -> str:
 
 _COH = """{n}_k as (select z.community, z.size, round(coalesce(w.w, 0.0), 6) as cohesion from (select community, count(*) as size from {n} group by 1) z
   left join (select x.community, avg(weight) as w from g join {n} x on x.node = g.a join {n} y on y.node = g.b where x.community = y.community group by 1) w on w.community = z.community)"""
-_ALONE = "alone as (select n.node_id, n.path from n where node_id in (select node_id from i) and node_id not in (select src_node from e where edge_type = 'field_refs') and node_id not in (select dst_node from e where edge_type = 'field_refs'))"
+_ALONE = "alone as (select n.node_id, n.path from n where node_id not in (select src_node from e where {t}) and node_id not in (select dst_node from e where {t}))"
+_TYPES = """kinds as (select node_id, case when unsure then 'Uncertain' else t end as isolated_type, least(1.0, case when unsure then greatest(best, 0.45) else best end)::double as confidence from
+  (select *, best < 0.5 or round(best - second, 9) < 0.1 as unsure from (select node_id, sc[1].s as best, sc[2].s as second, sc[1].t as t from (select node_id, list_sort([struct_pack(m := -be, i := 0, t := 'BoundaryExternal', s := be), struct_pack(m := 0.0::double, i := 1, t := 'Entrypoint', s := 0.0::double),
+    struct_pack(m := -tl, i := 2, t := 'TrueLeaf', s := tl), struct_pack(m := -me, i := 3, t := 'MissingEdge', s := me), struct_pack(m := -nn, i := 4, t := 'NoiseNode', s := nn)]) as sc from
+    (select a.node_id, case when contains(a.path, 'third_party/') then 0.7::double else 0.0::double end as be, case when coalesce(sim, 0) >= 0.5 then 0.2::double else 0.0::double end as tl, case when coalesce(sim, 0) >= 0.65 then 1.0::double else 0.0::double end as me, case when coalesce(sim, 0) < 0.35 then 1.0::double else 0.0::double end as nn
+     from alone a left join (select q as node_id, round(avg(sim), 6) as sim from nb where r <= 5 group by 1) using (node_id)))))),
+  lone as (select f.*, isolated_type from f join kinds on kinds.node_id = f.node)"""
+_ASSIGNED = f"""ins as (select c1.node, c1.community, f.vec, f.path from c1 join f using (node) where node not in (select node from lone) and community in (select community from c1 where node not in (select node from lone) group by 1 having count(*) > 1)),
+  mean as (select l.node, m.community, avg(list_inner_product(l.vec, m.vec)) as cos, max({_PRIOR.format(a='l.path', b='m.path')}) as prior from lone l, ins m where isolated_type not in ('BoundaryExternal', 'TrueLeaf', 'NoiseNode') group by 1, 2),
+  best as (select node, community, score, row_number() over (partition by node order by score desc, community) as r from (select node, community, round(0.6 * cos + 0.1 * prior, 6) as score from mean)),
+  given as (select node, community, score, 'forced' as mode from best join lone using (node) where r = 1 and score >= case isolated_type when 'Uncertain' then 0.65 when 'Entrypoint' then 0.60 else 0.55 end
+    union all select node, 'intent:community:ExternalBoundary', 1.0, 'external_boundary' from lone where isolated_type = 'BoundaryExternal')"""
+_CALLS_ALONE = _ALONE.format(t=_SURE_CALLS)
 _ROLE = "case when deg.fan_in = 0 and deg.fan_out = 0 then 'isolated' when deg.fan_in = 0 then 'entrypoint' when deg.fan_out = 0 then 'leaf' when deg.fan_out >= 5 then 'orchestrator' else 'core' end"
 
 
@@ -265,18 +300,26 @@ ORACLES = {
     "g_dominant_role": with_sql("n e i", "select community, role from (select community, role_in_chain as role, row_number() over (partition by community order by count(*) desc, role_in_chain) as rn from c1 join i on i.node_id = c1.node group by 1, 2) where rn = 1", f"{_G}, {_comm('c1', _LEAST)}", True),
     "g_metrics": with_sql("n e i", "select count(*) as n_communities, count(*) filter (c = 1) as n_singletons, sum(c)::bigint as n_nodes, round(avg((c = 1)::int), 6) as singleton_ratio from (select community, count(*) as c from c1 group by 1)", f"{_G}, {_comm('c1', _LEAST)}", True),
     "g_stability": with_sql("n e i", "select count(*) as pairs, round(avg(((p.x = q.x) = (p.y = q.y))::int), 6) as stability from m p join m q on p.rn - q.rn between 1 and 50", f"{_G}, {_comm('c1', _LEAST)}, {_comm('c2', 0.45)}, m as (select c1.community as x, c2.community as y, row_number() over (order by c1.node) as rn from c1 join c2 using (node))", True),
-    "g_objective": with_sql("n e i", "select 0.35::double as resolution, round(0.55 * avg(cohesion) - 0.15 * avg((size = 1)::int), 5) as objective from c1_k union all select 0.45::double, round(0.55 * avg(cohesion) - 0.15 * avg((size = 1)::int), 5) from c2_k", f"{_G}, {_comm('c1', _LEAST)}, {_comm('c2', 0.45)}, {_COH.format(n='c1')}, {_COH.format(n='c2')}", True),
+    "g_objective": with_sql("n e i", """select resolution, n_communities, n_singletons, round(avg_cohesion, 6) as avg_cohesion, stability, objective, row_number() over (order by objective desc, resolution) = 1 as selected
+      from (select *, round(0.55 * avg_cohesion + 0.30 * stability - 0.15 * n_singletons / n_communities, 5) as objective from (select * from run1 union all select * from run2))""",
+      f"{_G}, {_comm('c0', 0.4)}, {_comm('c1', _LEAST)}, {_comm('c2', 0.45)}, {_COH.format(n='c1')}, {_COH.format(n='c2')}, " + ", ".join(f"""m{k} as (select c0.community as x, c{k}.community as y, row_number() over (order by c0.node) as rn from c0 join c{k} using (node)),
+      run{k} as (select {x}::double as resolution, count(*) as n_communities, count(*) filter (size = 1) as n_singletons, avg(cohesion) as avg_cohesion, (select round(avg(((p.x = q.x) = (p.y = q.y))::int), 6) from m{k} p join m{k} q on p.rn - q.rn between 1 and 50) as stability from c{k}_k)""" for k, x in ((1, _LEAST), (2, 0.45))), True),
     "g_intent_roles": with_sql("n e", f"""select n.node_id, {_ROLE} as role, deg.fan_in, deg.fan_out, least(1.0, deg.fan_in / 10.0)::double as t_in, least(1.0, deg.fan_out / 10.0)::double as t_out, n.signature || ' acts as ' || {_ROLE} || ' in ' || n.path as intent_text, sha1(concat_ws('|', n.node_id, n.signature, 'sketch-v1', 'p1')) as cache_key
       from n join deg using (node_id) where n.node_type = 'method'""", _deg("edge_type = 'calls'")),
     "j_neighbour_context": with_sql("n e i", "select src_node, dst_node, r::int as r, signature, intent_text from (select e.src_node, e.dst_node, n.signature, i.intent_text, row_number() over (partition by e.src_node order by e.weight desc nulls last, e.dst_node, e.edge_id) as r from e left join n on n.node_id = e.dst_node left join i on i.node_id = e.dst_node where e.edge_type = 'calls') where r <= 3"),
-    "g_isolated": with_sql("n e i", """select node_id, case when unsure then 'Uncertain' else t end as isolated_type, least(1.0, case when unsure then greatest(best, 0.45) else best end)::double as confidence from
-      (select *, best < 0.5 or round(best - second, 9) < 0.1 as unsure from (select node_id, sc[1].s as best, sc[2].s as second, sc[1].t as t from (select node_id, list_sort([struct_pack(m := -be, i := 0, t := 'BoundaryExternal', s := be), struct_pack(m := 0.0::double, i := 1, t := 'Entrypoint', s := 0.0::double),
-        struct_pack(m := -tl, i := 2, t := 'TrueLeaf', s := tl), struct_pack(m := -me, i := 3, t := 'MissingEdge', s := me), struct_pack(m := -nn, i := 4, t := 'NoiseNode', s := nn)]) as sc from
-        (select a.node_id, case when contains(a.path, 'third_party/') then 0.7::double else 0.0::double end as be, case when coalesce(sim, 0) >= 0.5 then 0.2::double else 0.0::double end as tl, case when coalesce(sim, 0) >= 0.65 then 1.0::double else 0.0::double end as me, case when coalesce(sim, 0) < 0.35 then 1.0::double else 0.0::double end as nn
-         from alone a left join sim using (node_id)))))""", f"""{_F}, {_ALONE}, sim as (select node_id, round(avg(s), 6) as sim from (select x.node as node_id, round(list_inner_product(y.vec, x.vec), 9) as s, row_number() over (partition by x.node order by round(list_inner_product(y.vec, x.vec), 9) desc, y.node) as r
-        from f x join f y on x.node <> y.node where x.node in (select node_id from alone)) where r <= 5 group by 1)"""),
-    "g_repair": with_sql("n e i", f"""select src_node, dst_node, score, round(least(0.69, 0.25 + 0.4 * score)::double, 6) as confidence from (select *, row_number() over (partition by src_node order by score desc, dst_node) as r from
-      (select x.node as src_node, y.node as dst_node, round(0.85::double * greatest(0.0, list_inner_product(y.vec, x.vec)) + 0.15::double * {_PRIOR.format(a='y.path', b='x.path')}, 6) as score from f x join f y on x.node <> y.node where x.node in (select node_id from alone)) where score >= 0.58) where r <= 2""", f"{_F}, {_ALONE}"),
+    "g_isolated": with_sql("n e i", "select * from kinds", f"{_F}, {_NEAR}, {_ALONE.format(t='true')}, {_TYPES}"),
+    "g_isolated_calls": with_sql("n e i", "select * from kinds", f"{_F}, {_NEAR}, {_CALLS_ALONE}, {_TYPES}"),
+    "g_repair": with_sql("n e i", """select src_node, dst_node, -x.m as confidence, case when x.o = 0 then 'repair_missing_edge' else 'repair_missing_edge_reverse' end as source from (select src_node, dst_node, min(struct_pack(o := o, m := -confidence)) as x from two group by 1, 2)
+      where (src_node, dst_node) not in (select (src_node, dst_node) from e where edge_type = 'calls')""", f"""{_F}, {_NEAR}, {_CALLS_ALONE}, {_TYPES},
+      cand as (select * from (select *, row_number() over (partition by src_node order by score desc, dst_node) as r from (select x.node as src_node, y.node as dst_node, round(0.85::double * greatest(0.0, list_inner_product(y.vec, x.vec)) + 0.15::double * {_PRIOR.format(a='y.path', b='x.path')}, 6) as score
+        from lone x join f y on x.node <> y.node where isolated_type = 'MissingEdge')) where r <= 2 and score >= 0.58),
+      two as (select src_node, dst_node, round(least(0.69::double, 0.25 + 0.4::double * score), 6) as confidence, 0 as o from cand union all select dst_node, src_node, round(0.9::double * least(0.69::double, 0.25 + 0.4::double * score), 6), 1 from cand)"""),
+    "g_singletons": with_sql("n e i", "select node, community, score::double as score, mode from given", f"{_G}, {_comm('c1', _FINE)}, {_CALLS_ALONE}, {_TYPES}, {_ASSIGNED}", True),
+    "g_ratios": with_sql("n e i", """select n_nodes, n_isolated, n_uncertain::bigint as n_uncertain, n_forced, round(n_isolated / greatest(1, n_nodes), 6) as isolated_ratio, round(n_uncertain / greatest(1, n_isolated), 6) as uncertain_ratio, round(n_forced / greatest(1, n_isolated), 6) as forced_ratio
+      from (select count(*) as n_nodes from n), (select count(*) as n_isolated, count(*) filter (isolated_type = 'Uncertain') as n_uncertain from kinds), (select count(*) as n_forced from given)""", f"{_G}, {_comm('c1', _FINE)}, {_CALLS_ALONE}, {_TYPES}, {_ASSIGNED}", True),
+    "g_summary": with_sql("n e i", """select k.community, k.size, k.cohesion, ro.role, 'Community of ' || k.size || ' functions, mostly ' || coalesce(ro.role, 'unknown') as summary, coalesce(ta.tags, '') as tags from c1_k k
+      left join (select community, role from (select community, role_in_chain as role, row_number() over (partition by community order by count(*) desc, role_in_chain) as rn from c1 join i on i.node_id = c1.node group by 1, 2) where rn = 1) ro on ro.community = k.community
+      left join (select community, string_agg(t, ',' order by t) as tags from (select distinct community, unnest(try_cast(intent_tags_json as varchar[])) as t from c1 join i on i.node_id = c1.node) where t is not null group by 1) ta on ta.community = k.community""", f"{_G}, {_comm('c1', _LEAST)}, {_COH.format(n='c1')}", True),
     "g_seed_nodes": with_sql("n e i", "select community, node_id, degree, r::int as r from (select c1.community, c1.node as node_id, fan_in + fan_out as degree, row_number() over (partition by c1.community order by fan_in + fan_out desc, c1.node) as r from c1 join deg on deg.node_id = c1.node) where r <= 3", f"{_G}, {_comm('c1', _LEAST)}, {_deg()}", True),
     "g_explore": with_sql("n e i", "select node, min(h)::int as hop from (select id as node, 0 as h from seeds union all select b, 1 from (select src_node as a, dst_node as b from e where edge_type = 'calls' union select dst_node, src_node from e where edge_type = 'calls') where a in (select id from seeds)) group by 1",
       f"q0 as ({_intent('frozen catalog')}), q1 as ({_intent('buffer queue')}), seeds as (select id from (select node_id as id, sum(1.0::double / (60 + rank)) as sc, min(o * 1000 + rank) as f from (select *, 0 as o from q0 union all select *, 1 from q1) group by 1) order by round(sc, 9) desc, f limit 3)"),
