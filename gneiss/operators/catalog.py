@@ -16,7 +16,9 @@ def last_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def current_documents(documents: DataFrame) -> DataFrame:
-    return last_wins(documents, ["document_id"], [F.desc("ingested_at"), F.desc("doc_id")]).filter("deleted_at is null")
+    """The latest version of every document unless deleted; only keys are reduced, texts meet the chosen keys."""
+    latest = documents.filter("document_id is not null").groupBy("document_id").agg(F.max(F.struct("ingested_at", "doc_id")).alias("at"))
+    return documents.filter("deleted_at is null").join(latest.select(F.col("at.doc_id").alias("doc_id")), "doc_id", "left_semi")
 
 
 def current_symbols(symbols: DataFrame) -> DataFrame:

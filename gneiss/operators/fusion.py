@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gneiss import runtime
 from gneiss.operators import text
 
+#: Rows of a ranked channel.
+MOST_RESULTS = 10_000
 WEIGHTS = {"structure": 0.5, "keyword": 0.2, "semantic": 0.3}
 
 
 def ranked(channel: DataFrame) -> DataFrame:
-    """Adds ``rank`` to a limited channel and writes its few rows once: fusion reads a channel several times."""
-    return runtime.materialise(channel.select("result_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "result_id")).alias("rank")), "channel")
+    """Adds ``rank`` to a channel, which has ``MOST_RESULTS`` rows at most: fusion reads it several times, so these become a local table."""
+    rows = channel.select("result_id", "score").orderBy(F.desc("score"), "result_id").limit(MOST_RESULTS + 1).collect()
+    if len(rows) > MOST_RESULTS:
+        raise ValueError(f"a ranked channel has {MOST_RESULTS} rows at most; limit it")
+    return channel.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], "result_id string, score double, rank int")
 
 
 def _stacked(channels: dict[str, DataFrame]) -> DataFrame:

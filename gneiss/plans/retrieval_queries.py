@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.operators import fusion, symbols, text, vectors
+from gneiss.operators import fusion, retrieval_index, symbols, text, vectors
 from gneiss.plans import canonical as c
 from gneiss.plans.canonical import bm25_sql, with_sql
 from gneiss.plans.tables import table
@@ -21,15 +21,20 @@ def _channel(hits: DataFrame, id_col: str, n: int = _DEPTH) -> DataFrame:
     return kept.orderBy(F.desc("score"), "result_id").limit(n)
 
 
+def _postings(s: SparkSession, d: str) -> DataFrame:
+    return retrieval_index.stored(s, "postings", f"{d}/documents.parquet", lambda: retrieval_index.postings(c.documents(s, d).select("document_id", "content"), "document_id", ["content"]))
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return retrieval_index.stored(s, "vectors", f"{d}/documents.parquet", lambda: retrieval_index.record_vectors(c.documents(s, d).select("document_id", "content"), "document_id", "content"))
+
+
 def _keyword(s: SparkSession, d: str, query: str = _Q) -> DataFrame:
-    return _channel(text.bm25(c.documents(s, d).select("document_id", "content"), "document_id", ["content"], query), "id")
+    return _channel(retrieval_index.search(_postings(s, d), query), "id")
 
 
 def _semantic(s: SparkSession, d: str, query: str = _Q) -> DataFrame:
-    docs = text.hash_vector(c.documents(s, d).select("document_id", "content"), "document_id", "content")
-    q = text.hash_vector(s.createDataFrame([(0, query)], "id int, q string"), "id", "q").select("idx", F.col("v").alias("w"))
-    hits = docs.join(F.broadcast(q), "idx").groupBy("id").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
-    return _channel(hits, "id")
+    return _channel(retrieval_index.nearest_to(_vectors(s, d), retrieval_index.query_vector(query)), "id")
 
 
 def _structure(s: SparkSession, d: str) -> DataFrame:
