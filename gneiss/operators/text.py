@@ -82,13 +82,21 @@ def hash_vector(docs: DataFrame, id_col: str, text_col: str, dim: int = 128) ->
 
 
 # File suffixes and languages that count as code.
-CODE_SUFFIXES = "c cc cpp cs cxx go h hh hpp java js jsx kt kts m mm php py rb rs scala swift ts tsx".split()
-CODE_LANGUAGES = "c cpp csharp go java javascript js kotlin objective-c php python ruby rust scala swift ts tsx typescript".split()
+CODE_SUFFIXES = ["c", "cc", "cpp", "cs", "cxx", "go", "h", "hh", "hpp", "java", "js", "jsx", "kt", "kts", "m", "mm", "php", "py", "rb", "rs", "scala", "swift", "ts", "tsx"]
+CODE_LANGUAGES = ["c", "cpp", "csharp", "go", "java", "javascript", "js", "kotlin", "objective-c", "php", "python", "ruby", "rust", "scala", "swift", "ts", "tsx", "typescript"]
 # Folders of test sources, and marks of test files in symbol ids.
 TEST_FOLDERS = ["/src/test/", "/test/java/", "/test/kotlin/", "/test/scala/", "/test/resources/", "/tests/", "/__tests__/", "/it/java/", "/integration-test/", "/integration_tests/"]
 TEST_SYMBOL_FOLDERS = ["/src/test/", "/test/java/", "/test/kotlin/", "/tests/", "/__tests__/", "/it/java/"]
-# Words by which a query asks for tests.
-TEST_WORDS = r"(?i)\b(junit|testng|mockito|hamcrest|assertj|easymock|powermock|spock|unit\s+tests?|test\s+cases?|test\s+suites?|integration\s+tests?|mock|stub|fixture)\b|\b@(before|after|beforeeach|aftereach|pytest)\b|单元测试|单测|测试用例|测试类|(?<![a-z])tests?(?![a-z])"
+# Words by which a query asks for tests, annotations after '@', and words of languages without blanks.
+TEST_WORDS = ["junit", "testng", "mockito", "hamcrest", "assertj", "easymock", "powermock", "spock", "unit test", "unit tests", "test case", "test cases", "test suite", "test suites", "integration test", "integration tests", "mock", "stub", "fixture"]
+TEST_ANNOTATIONS = ["before", "after", "beforeeach", "aftereach", "pytest"]
+TEST_WORDS_CJK = ["单元测试", "单测", "测试用例", "测试类"]
+_ASKS = re.compile(
+    "|".join(
+        [r"\b(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in TEST_WORDS) + r")\b", r"\b@(?:" + "|".join(TEST_ANNOTATIONS) + r")\b", *TEST_WORDS_CJK, r"(?<![a-z])tests?(?![a-z])"]
+    ),
+    re.I,
+)
 
 
 def is_code(path: Column | str, language: Column | str) -> Column:
@@ -121,7 +129,7 @@ def is_test_symbol(symbol: Column | str) -> Column:
 
 
 def asks_for_tests(query: str) -> bool:
-    return bool(query.strip()) and bool(re.search(TEST_WORDS, query))
+    return bool(query.strip()) and bool(_ASKS.search(query))
 
 
 def node_type(kind: Column | str) -> Column:

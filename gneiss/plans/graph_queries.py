@@ -33,6 +33,11 @@ def g_occurrence_edges(s: SparkSession, d: str) -> DataFrame:
     return graph.occurrence_edges(c.occurrences(s, d), c.nodes(s, d))
 
 
+def g_new_edges(s: SparkSession, d: str) -> DataFrame:
+    """Occurrence edges that the edge table does not have yet."""
+    return graph.occurrence_edges(c.occurrences(s, d), c.nodes(s, d), c.edges(s, d))
+
+
 def g_degrees(s: SparkSession, d: str) -> DataFrame:
     return graph.degrees(c.nodes(s, d), c.edges(s, d))
 
@@ -220,16 +225,22 @@ def g_explore(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    g_nodes, g_belongs_to, g_relation_edges, g_occurrence_edges, g_degrees, g_degrees_calls, g_khop, g_subgraph, g_components, g_edge_ids, g_topology, g_candidate_graph, g_communities, g_cohesion,
+    g_nodes, g_belongs_to, g_relation_edges, g_occurrence_edges, g_new_edges, g_degrees, g_degrees_calls, g_khop, g_subgraph, g_components, g_edge_ids, g_topology, g_candidate_graph, g_communities, g_cohesion,
     g_dominant_role, g_metrics, g_stability, g_objective, g_intent_roles, j_neighbour_context, g_summary, g_isolated, g_isolated_calls, g_repair, g_singletons, g_ratios, g_seed_nodes, g_explore,
 )}
 
 _INSIDE = "(r.line > w.sl or (r.line = w.sl and r.col >= w.sc)) and (r.line < w.el or (r.line = w.el and r.col <= w.ec))"
 _OCC = f"""tn as (select symbol_id, node_id, node_type from n where node_type in ('method', 'field')),
   r as (select o.document_id, o.id, range_start_line as line, range_start_col as col, tn.node_id as dst_node, tn.node_type as t from o join tn using (symbol_id) where role <> 'definition'),
-  w as (select o.document_id, tn.node_id as src, enclosing_range_start_line as sl, enclosing_range_start_col as sc, enclosing_range_end_line as el, enclosing_range_end_col as ec from o join tn using (symbol_id)
-    where role = 'definition' and tn.node_type = 'method' and enclosing_range_start_line >= 0 and enclosing_range_end_line >= enclosing_range_start_line),
-  b as (select r.*, w.src from r join w on r.document_id = w.document_id and {_INSIDE} qualify row_number() over (partition by r.document_id, r.id, r.dst_node order by (w.el - w.sl) * 1000000 + (w.ec - w.sc), w.sl, w.sc, w.src) = 1)"""
+  sn as (select symbol_id, node_id, case when node_type = 'method' then 'm' else 't' end as sort from n where node_type in ('method', 'class', 'interface')),
+  lw as (select document_id, max(greatest(range_end_line, enclosing_range_end_line)) as last from o group by 1),
+  w0 as (select o.document_id, sort, sn.node_id as src, enclosing_range_start_line >= 0 and enclosing_range_end_line >= enclosing_range_start_line as has, o.* exclude (document_id) from o join sn using (symbol_id) where role = 'definition'),
+  w1 as (select document_id, sort, src, has, case when has then enclosing_range_start_line else range_start_line end as sl, case when has then enclosing_range_start_col else range_start_col end as sc,
+    case when has then enclosing_range_end_line else range_end_line end as el, case when has then enclosing_range_end_col else range_end_col end as ec from w0),
+  w as (select document_id, sort, src, sl, case when has then sc else 0 end as sc, case when has then el else greatest(el, coalesce(greatest(sl, nxt - 1), last)) end as el, case when has then ec else 1000000 end as ec
+    from (select *, lead(sl) over (partition by document_id, sort order by sl, sc, src) as nxt from w1) join lw using (document_id)),
+  bm as (select r.*, w.src, w.sort from r join w on r.document_id = w.document_id and {_INSIDE} qualify row_number() over (partition by r.document_id, r.id, r.dst_node, w.sort order by (w.el - w.sl) * 1000000 + (w.ec - w.sc), w.sl, w.sc, w.src) = 1),
+  b as (select document_id, id, dst_node, t, case when t = 'field' then coalesce(max(case when sort = 'm' then src end), max(case when sort = 't' then src end)) else max(case when sort = 'm' then src end) end as src from bm group by 1, 2, 3, 4)"""
 _HOPS = """bo as (select src_node as a, dst_node as b from e where edge_type = '{t}' union select dst_node, src_node from e where edge_type = '{t}'),
   seed as (select node_id from n where symbol_id in (select symbol_id from busy)), h0 as (select node_id as node from seed), h1 as (select distinct b as node from bo where a in (select node from h0)), h2 as (select distinct b as node from bo where a in (select node from h1)),
   hops as (select node, min(h)::int as hop from (select node, 0 as h from h0 union all select node, 1 from h1 union all select node, 2 from h2) group by 1)"""
@@ -278,14 +289,20 @@ _KIND = """case when k like '%package%' or k = 'module' then 'package' when k li
   when regexp_matches(k, 'field|property|constant') then 'field' when regexp_matches(k, 'class|enum|struct|object|type') then 'class' else 'symbol' end"""
 
 ORACLES = {
-    "g_nodes": with_sql("d s o", """select node_id, symbol_id, node_type, path, signature from own union all
-      select * from (select 'pkg:' || package as node_id, 'pkg:' || package as symbol_id, 'package' as node_type, min(path) as path, replace(package, '/', '.') as signature from own where node_type in ('class', 'interface') and coalesce(trim(enclosing_symbol), '') = '' and coalesce(package, '') <> '' group by package) where node_id not in (select node_id from own)""",
-      f"""own as (select case when t = 'package' and starts_with(symbol_id, 'pkg:') then symbol_id else case when t = 'package' then 'pkg' when t in ('class', 'interface') then 'type' else t end || ':' || symbol_id end as node_id, symbol_id, t as node_type, path, display_name as signature, package, enclosing_symbol from
-      (select s.*, {_KIND} as t, p.path from (select *, lower(coalesce(kind, '')) as k from s) s join (select symbol_id, min(relative_path) as path from o join d using (document_id) where role = 'definition' group by 1) p using (symbol_id)) where t <> 'symbol')"""),
-    "g_belongs_to": with_sql("s n", "select c.node_id as src_node, p.node_id as dst_node from s join n c on c.symbol_id = s.symbol_id join n p on p.symbol_id = s.enclosing_symbol where s.enclosing_symbol <> ''"),
-    "g_relation_edges": with_sql("n e", """select src_node, dst_node, edge_type, max(confidence) as confidence from (select e.src_node, e.dst_node, case when edge_type = 'implements' and q.node_type <> 'interface' and p.node_type in ('class', 'interface') then 'extends' else edge_type end as edge_type, confidence
+    "g_nodes": with_sql("d s o", """select node_id, symbol_id, node_type, path, signature from every union all
+      select * from (select 'pkg:' || package as node_id, 'pkg:' || package as symbol_id, 'package' as node_type, min(path) as path, replace(package, '/', '.') as signature from own where t in ('class', 'interface') and coalesce(trim(enclosing_symbol), '') = '' and coalesce(package, '') <> '' group by package) where node_id not in (select node_id from every)""",
+      f"""ks as (select *, {_KIND} as t from (select *, lower(coalesce(kind, '')) as k from s)),
+      own as (select ks.*, p.path from ks join (select symbol_id, min(relative_path) as path from o join d using (document_id) where role = 'definition' group by 1) p using (symbol_id) where t <> 'symbol'),
+      up as (select enclosing_symbol as symbol_id, path from own where enclosing_symbol <> '' union select ks.enclosing_symbol, up.path from up join ks using (symbol_id) where t <> 'symbol' and ks.enclosing_symbol <> '' and symbol_id not in (select symbol_id from own)),
+      owners as (select symbol_id, t, min(path) as path, any_value(display_name) as display_name from up join ks using (symbol_id) where t <> 'symbol' and symbol_id not in (select symbol_id from own) group by 1, 2),
+      every as (select case when t = 'package' and starts_with(symbol_id, 'pkg:') then symbol_id else case when t = 'package' then 'pkg' when t in ('class', 'interface') then 'type' else t end || ':' || symbol_id end as node_id, symbol_id, t as node_type, path, display_name as signature
+        from (select symbol_id, t, path, display_name from own union all select symbol_id, t, path, display_name from owners))""", True),
+    "g_belongs_to": with_sql("s n", """select c.node_id as src_node, p.node_id as dst_node from s join n c on c.symbol_id = s.symbol_id join n p on p.symbol_id = s.enclosing_symbol where s.enclosing_symbol <> ''
+      union all select c.node_id, 'pkg:' || trim(s.package, '/') from s join n c on c.symbol_id = s.symbol_id where coalesce(s.enclosing_symbol, '') = '' and s.package <> '' and c.node_type in ('class', 'interface')"""),
+    "g_relation_edges": with_sql("n e", """select src_node, dst_node, edge_type, max(confidence) as confidence, min(evidence_json) as evidence from (select e.src_node, e.dst_node, case when edge_type = 'implements' and q.node_type <> 'interface' and p.node_type in ('class', 'interface') then 'extends' else edge_type end as edge_type, confidence, evidence_json
       from e join n p on p.node_id = e.src_node join n q on q.node_id = e.dst_node) group by 1, 2, 3"""),
     "g_occurrence_edges": with_sql("n o", "select src as src_node, dst_node, case when t = 'method' then 'calls' else 'field_refs' end as edge_type, count(*) as n, round(least(1.0, 0.35 + 0.1 * count(*))::double, 6) as weight, round(least(0.95, 0.35 + 0.1 * count(*))::double, 6) as confidence from b where src <> dst_node group by 1, 2, 3", _OCC),
+    "g_new_edges": with_sql("n o e", "select src as src_node, dst_node, case when t = 'method' then 'calls' else 'field_refs' end as edge_type, count(*) as n, round(least(1.0, 0.35 + 0.1 * count(*))::double, 6) as weight, round(least(0.95, 0.35 + 0.1 * count(*))::double, 6) as confidence from b where src <> dst_node and (src, dst_node, case when t = 'method' then 'calls' else 'field_refs' end) not in (select (src_node, dst_node, edge_type) from e) group by 1, 2, 3", _OCC),
     "g_degrees": with_sql("n e", "select * from deg", _deg()),
     "g_degrees_calls": with_sql("n e", "select * from deg", _deg("edge_type = 'calls'")),
     "g_khop": with_sql("n e busy", "select node, hop from hops", _HOPS.format(t="calls")),
