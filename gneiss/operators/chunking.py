@@ -55,10 +55,16 @@ def gaps(ranges: DataFrame, covered: DataFrame, key: list[str]) -> DataFrame:
 
 
 def leaf_preferred(spans: DataFrame, key: str = "document_id") -> DataFrame:
-    """Spans that do not strictly contain another span of their key."""
-    a, b = spans.alias("a"), spans.alias("b")
-    holds = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") <= F.col("b.start")) & (F.col("a.end") >= F.col("b.end")) & ((F.col("a.start") < F.col("b.start")) | (F.col("a.end") > F.col("b.end")))
-    return a.join(b, holds, "left_anti")
+    """Spans that do not strictly contain another span of their key.
+
+    Sorted by start, longer first, a span strictly contains another one exactly when the least end among the distinct spans
+    after it is not beyond its own; so one window pass per key decides, without pairs.
+    """
+    distinct = spans.select(key, "start", "end").distinct()
+    order = Window.partitionBy(key).orderBy(F.col("start"), F.desc("end"))
+    least = F.min("end").over(order.rowsBetween(1, Window.unboundedFollowing))
+    leaves = distinct.withColumn("_least", least).filter(F.col("_least").isNull() | (F.col("_least") > F.col("end"))).select(key, "start", "end")
+    return spans.join(leaves, [key, "start", "end"], "left_semi").select(*spans.columns)
 
 
 def count_tokens(text: str) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gneiss.operators import catalog, chunking, evaluation, graph, text, upkeep
+from gneiss.operators import catalog, chunking, code_chunks, evaluation, graph, text, upkeep
 from gneiss.plans import canonical as c
 from gneiss.plans.canonical import with_sql
 from gneiss.plans.tables import table
@@ -70,10 +70,32 @@ def c_split_exact(s: SparkSession, d: str) -> DataFrame:
 
 def w_pack_siblings(s: SparkSession, d: str) -> DataFrame:
     defs = _definitions(s, d).join(c.symbols(s, d).select("symbol_id", "enclosing_symbol", "kind"), "symbol_id").filter(text.is_function_kind("kind"))
-    sized = defs.select("document_id", F.coalesce("enclosing_symbol", F.lit("")).alias("enclosing_symbol"), "symbol_id", "start", "end", ((F.col("end") - F.col("start") + 1) * 8).alias("n_tokens"))
+    # Tokens of the lines of each span, at least one per line.
+    costs = F.transform(F.split("content", "\n", -1), lambda x: F.greatest(F.lit(1), text.heuristic_tokens(x)))
+    lined = c.documents(s, d).filter("content <> ''").select("document_id", costs.alias("costs"))
+    inside = F.slice("costs", F.col("start") + 1, F.greatest(F.lit(0), F.col("end") - F.col("start") + 1))
+    sized = defs.join(lined, "document_id").select("document_id", F.coalesce("enclosing_symbol", F.lit("")).alias("enclosing_symbol"), "symbol_id", "start", "end", F.aggregate(inside, F.lit(0), lambda a, x: a + x).alias("n_tokens"))
     return chunking.packed_functions(sized)
 
 
+def _contexts(s: SparkSession, d: str) -> DataFrame:
+    sym, o, docs, n, e = c.symbols(s, d), c.occurrences(s, d), c.documents(s, d), c.nodes(s, d), c.edges(s, d)
+    return code_chunks.symbol_contexts(sym, o, docs, n, e, chunking.caller_labels(e, n, sym))
+
+
+def c_code_chunks(s: SparkSession, d: str) -> DataFrame:
+    return code_chunks.code_chunks(c.documents(s, d), c.occurrences(s, d), c.symbols(s, d), _contexts(s, d)).withColumn("primary_symbols", F.array_join("primary_symbols", "|"))
+
+
+def c_contexts(s: SparkSession, d: str) -> DataFrame:
+    ctx = _contexts(s, d)
+    return ctx.select(*(F.array_join(x, ",").alias(x) if t.startswith("array") else F.col(x) for x, t in ctx.dtypes))
+
+
+def c_symbol_cards(s: SparkSession, d: str) -> DataFrame:
+    return code_chunks.symbol_card_chunks(c.symbols(s, d), _contexts(s, d))
+
+
 def c_cards(s: SparkSession, d: str) -> DataFrame:
     sym = c.symbols(s, d)
     return chunking.symbol_cards(sym, chunking.caller_labels(c.edges(s, d), c.nodes(s, d), sym))
@@ -212,7 +234,7 @@ def s_degree_refresh(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p_effective_span, w_expand_spans, w_definition_spans, w_merge_intervals, w_gaps, j_container_anti, j_point_in_interval, c_split, c_split_exact, w_pack_siblings, c_cards, c_call_context, j_missing_embeddings,
+    p_effective_span, w_expand_spans, w_definition_spans, w_merge_intervals, w_gaps, j_container_anti, j_point_in_interval, c_split, c_split_exact, w_pack_siblings, c_code_chunks, c_contexts, c_symbol_cards, c_cards, c_call_context, j_missing_embeddings,
     e_metrics, e_summary, e_first_units, e_union, e_missing_gold, a_p95, q_grep, s_ndjson_split, s_upsert_last_wins, s_upsert_tables, s_insert_or_ignore, s_delete_snapshot, s_purge_choice, s_table_counts,
     s_smoke_symbol, s_targets, s_ports, s_job_states, s_meta_json, s_degree_refresh,
 )}
@@ -233,7 +255,27 @@ _MEANS = "count(*) as n, round(avg(hit), 6) as hit, round(avg(recall), 6) as rec
 _CALLERS = """cl as (select symbol_id, list(caller order by caller)[1:8] as callers from (select distinct q.symbol_id, p.display_name as caller from e
   join (select node_id, display_name from n join s using (symbol_id)) p on p.node_id = e.src_node join (select node_id, symbol_id from n where symbol_id in (select symbol_id from s)) q on q.node_id = e.dst_node where e.edge_type = 'calls') where caller is not null group by 1)"""
 
+_COSTS = r"""lc as (select document_id, string_split(content, chr(10)) as l, list_transform(string_split(content, chr(10)), lambda x: greatest(1, len(regexp_extract_all(x, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]')))) as k from d where content <> '')"""
+_SPLIT = _COSTS + """, cum as (select document_id, l, k, list_concat([0], list_transform(range(1, len(k) + 1), lambda i: list_sum(k[1:i])::bigint)) as c from lc),
+  cut as (select document_id, 0::bigint as i, 0::bigint as j, 0 as p from cum union all
+    select document_id, nxt, greatest(nxt + 1, len(list_filter(c, lambda x: x <= c[nxt + 1] + 256)) - 1), p + 1 from (select cut.document_id, c, p, case when p = 0 then 0 else greatest(i + 1, len(list_filter(c[1:j + 1], lambda x: x < c[j + 1] - 32))) end as nxt from cut join cum using (document_id) where p = 0 or j < len(k)))"""
+
 ORACLES = {
+    "c_split": with_sql("d", """select document_id || ':doc:p' || p as chunk_id, document_id, p as part, (i + 1)::int as start_line, j::int as end_line, list_sum(k[i + 1:j])::int as n_tokens, array_to_string(l[i + 1:j], chr(10)) as content from cut join cum using (document_id) where p > 0""", _SPLIT, True),
+    "c_contexts": with_sql("d s o n e", """select s.symbol_id, p.path, s.package, s.kind, ow.display_name as owner, s.display_name as signature, coalesce(an, '') as annotations, coalesce(ex, '') as "extends", coalesce(im, '') as implements, coalesce(ft, '') as field_type, coalesce(cl, '') as incoming_calls
+      from s left join (select symbol_id, min(struct_pack(l := range_start_line, p := relative_path)).p as path from o join d using (document_id) where role = 'definition' group by 1) p on p.symbol_id = s.symbol_id left join s ow on ow.symbol_id = s.enclosing_symbol left join ty on ty.symbol_id = s.symbol_id left join ca on ca.symbol_id = s.symbol_id""",
+      """nm as (select n.node_id, s.symbol_id, s.display_name from n join s using (symbol_id)), re as (select distinct a.symbol_id, edge_type, b.display_name as name from e join nm a on a.node_id = src_node join nm b on b.node_id = dst_node),
+      ty as (select symbol_id, string_agg(case when edge_type = 'annotated_with' then '@' || name end, ',' order by name) as an, string_agg(case when edge_type = 'extends' then name end, ',' order by name) as ex,
+        string_agg(case when edge_type = 'implements' then name end, ',' order by name) as im, string_agg(case when edge_type = 'field_type' then name end, ',' order by name) as ft from re group by 1),
+      ca as (select symbol_id, string_agg(name, ',' order by name) as cl from (select *, row_number() over (partition by symbol_id order by name) as r from (select distinct b.symbol_id, a.display_name as name from e join nm a on a.node_id = src_node join nm b on b.node_id = dst_node where edge_type = 'calls')) where r <= 8 group by 1)"""),
+    "w_pack_siblings": with_sql("d s o", "select document_id, enc as enclosing_symbol, pack::int as pack, symbol_id from st", _COSTS + """,
+      fs as (select distinct o.document_id, coalesce(s.enclosing_symbol, '') as enc, o.symbol_id, case when enclosing_range_start_line >= 0 and enclosing_range_end_line > enclosing_range_start_line then enclosing_range_start_line else range_start_line end as a,
+        case when enclosing_range_start_line >= 0 and enclosing_range_end_line > enclosing_range_start_line then enclosing_range_end_line else range_end_line end as b, o.id from o join s using (symbol_id) where role = 'definition' and (regexp_matches(lower(coalesce(kind, '')), 'constructor|method') or (contains(lower(coalesce(kind, '')), 'function') and not contains(lower(coalesce(kind, '')), 'interface')))),
+      fz as (select fs.*, coalesce(list_sum(k[a + 1:b + 1]), 0)::bigint as n from fs join lc using (document_id)),
+      fr as (select *, row_number() over (partition by document_id, enc order by a, b, n, symbol_id) as rn from fz),
+      st as (select document_id, enc, rn, symbol_id, b, n as held, n <= 60 as is_open, 0 as pack from fr where rn = 1 union all
+        select document_id, enc, rn, symbol_id, b, case when n > 60 then 0 when joins then held + n else n end, n <= 60, case when joins then pack else pack + 1 end
+          from (select fr.*, st.held, st.pack, st.is_open and fr.n <= 60 and fr.a - st.b <= 3 and st.held < 160 as joins from st join fr on fr.document_id = st.document_id and fr.enc = st.enc and fr.rn = st.rn + 1))""", True),
     "p_effective_span": with_sql("o", f'select id, {_START} as start, {_END} as "end", {_USE} as enclosed from o'),
     "w_expand_spans": with_sql("d o", 'select document_id, id, start, greatest("end", case when nx is null then max_line else greatest(start, nx - 1) end) as "end" from (select *, lead(start) over (partition by document_id order by start, id) as nx from df)', _DEFS),
     "w_definition_spans": with_sql("d o", 'select document_id, id, start, coalesce(nx, max_line + 1) as "end" from (select *, lead(start) over (partition by document_id order by start, id) as nx from df) where coalesce(nx, max_line + 1) > start', _DEFS),
