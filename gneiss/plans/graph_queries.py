@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gneiss.operators import communities as com
-from gneiss.operators import graph, text, vectors
+from gneiss.operators import explore, graph, text, vectors
 from gneiss.plans import canonical as c
 from gneiss.plans.canonical import with_sql
 from gneiss.runtime import materialise
@@ -224,9 +224,75 @@ def g_explore(s: SparkSession, d: str) -> DataFrame:
     return graph.k_hop(c.edges(s, d), seeds, "calls", 1)
 
 
+def _modules(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Communities of functions by close links, as modules and members."""
+    g, f = _graph(s, d), materialise(_functions(s, d), "functions")
+    m = materialise(com.communities(g, f, _FINE), "members")
+    labels = c.intents(s, d).select(F.col("node_id").alias("node"), F.col("role_in_chain").alias("role"), F.from_json("intent_tags_json", "array<string>").alias("tags"))
+    kept = materialise(com.community_summary(m, g, labels), "modules")
+    modules = kept.select("community", F.col("summary").alias("intent"), "tags", F.array_join("tags", " ").alias("backbone"), "cohesion")
+    return modules, m.join(kept.select("community", "cohesion"), "community").select("community", F.col("node").alias("node_id"), F.lit(1.0).alias("assign_score"), "cohesion")
+
+
+_MODULE_Q = "entry leaf"
+
+
+def _module_channel(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    modules, members = _modules(s, d)
+    hits = materialise(explore.search_modules(modules, _MODULE_Q, 5), "hits")
+    seeds = explore.community_seeds(members.join(hits.select("community"), "community", "left_semi"), graph.degrees(c.nodes(s, d), c.edges(s, d)), 3)
+    return hits, explore.module_seeds(hits, seeds)
+
+
+def g_module_search(s: SparkSession, d: str) -> DataFrame:
+    return _module_channel(s, d)[0]
+
+
+def g_module_seeds(s: SparkSession, d: str) -> DataFrame:
+    return _module_channel(s, d)[1]
+
+
+def g_semantic_seeds(s: SparkSession, d: str) -> DataFrame:
+    from gneiss.plans.retrieval_queries import _semantic
+
+    symbols = c.occurrences(s, d).filter("role = 'definition'").groupBy(F.col("document_id").alias("chunk_id")).agg(F.collect_set("symbol_id").alias("primary_symbols"))
+    hits = _semantic(s, d).withColumnRenamed("result_id", "chunk_id")
+    return explore.semantic_seeds(hits, symbols, c.nodes(s, d), 8)
+
+
+def _fused_seeds(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from gneiss.operators import symbols
+
+    hits, modules = _module_channel(s, d)
+    functions = symbols.search_intents(c.intents(s, d), c.nodes(s, d), "frozen catalog", 8).select("node_id", "score")
+    channels = {"module": modules, "function": functions, "semantic": g_semantic_seeds(s, d)}
+    return hits, explore.select_seeds(explore.fuse_seeds(channels), 0.0, 13)
+
+
+def g_explore_seeds(s: SparkSession, d: str) -> DataFrame:
+    return _fused_seeds(s, d)[1].withColumn("score", F.round("score", 9))
+
+
+def g_explore_all(s: SparkSession, d: str) -> DataFrame:
+    hits, seeds = _fused_seeds(s, d)
+    return explore.explore(c.edges(s, d), seeds, hits.limit(1).count() > 0)[0]
+
+
+def g_explore_symbol(s: SparkSession, d: str) -> DataFrame:
+    return explore.explore_symbol(c.edges(s, d), c.nodes(s, d), c.busiest_symbol(s, d).first()[0])
+
+
+def g_intent_subgraph(s: SparkSession, d: str) -> DataFrame:
+    """Members of the three largest communities."""
+    modules, members = _modules(s, d)
+    largest = [r[0] for r in members.groupBy("community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(3).collect()]
+    return explore.intent_subgraph(members, modules, largest)
+
+
 QUERIES = {f.__name__: f for f in (
     g_nodes, g_belongs_to, g_relation_edges, g_occurrence_edges, g_new_edges, g_degrees, g_degrees_calls, g_khop, g_subgraph, g_components, g_edge_ids, g_topology, g_candidate_graph, g_communities, g_cohesion,
     g_dominant_role, g_metrics, g_stability, g_objective, g_intent_roles, j_neighbour_context, g_summary, g_isolated, g_isolated_calls, g_repair, g_singletons, g_ratios, g_seed_nodes, g_explore,
+    g_module_search, g_module_seeds, g_semantic_seeds, g_explore_seeds, g_explore_all, g_explore_symbol, g_intent_subgraph,
 )}
 
 _INSIDE = "(r.line > w.sl or (r.line = w.sl and r.col >= w.sc)) and (r.line < w.el or (r.line = w.el and r.col <= w.ec))"
@@ -288,7 +354,38 @@ def _intent(q: str) -> str:
 _KIND = """case when k like '%package%' or k = 'module' then 'package' when k like '%annotation%' or k like '%interface%' then 'interface' when regexp_matches(k, 'constructor|method|function') then 'method'
   when regexp_matches(k, 'field|property|constant') then 'field' when regexp_matches(k, 'class|enum|struct|object|type') then 'class' else 'symbol' end"""
 
+_MODULES = f"""{_G}, {_comm('c1', _FINE)}, {_COH.format(n='c1')}, {_deg()},
+  mt as (select community, list_sort(list(distinct t)) as tags from (select community, unnest(try_cast(intent_tags_json as varchar[])) as t from c1 join i on i.node_id = c1.node) where t is not null group by 1),
+  mr as (select community, role from (select community, role_in_chain as role, row_number() over (partition by community order by count(*) desc, role_in_chain) as rn from c1 join i on i.node_id = c1.node group by 1, 2) where rn = 1),
+  mo as (select k.community, 'Community of ' || k.size || ' functions, mostly ' || coalesce(mr.role, 'unknown') as intent, coalesce(tags, []) as tags, k.cohesion, k.size from c1_k k left join mr on mr.community = k.community left join mt on mt.community = k.community)"""
+_MODULE_HITS = _MODULES + ", mh as (select community, score, cohesion from (select community, cohesion, " + " + ".join(
+    [f"{w} * (case when contains(lower({x}), '{_MODULE_Q}') then 2.0 else 0.0 end + " + " + ".join(f"contains(lower({x}), '{t}')::double" for t in _MODULE_Q.split()) + ")" for w, x in ((1.0, "intent"), (0.35, "array_to_string(tags, ' ')"))]
+    + [f"0.5 * (len(list_filter(tags, lambda t: contains(lower(t), '{t}'))) > 0)::double" for t in _MODULE_Q.split()]
+) + """ as score from mo) where score > 0 order by score desc, cohesion desc, community limit 5),
+  ms as (select node_id, max(score + 0.2) as score from (select mh.community, mh.score, c1.node as node_id, row_number() over (partition by mh.community order by fan_in + fan_out desc, c1.node) as r from mh join c1 on c1.community = mh.community join deg on deg.node_id = c1.node) where r <= 3 group by 1)"""
+
+
+def _semantic_seed_sql() -> str:
+    from gneiss.plans.retrieval_queries import _SEM
+
+    return f"""{_SEM}, ss as (select coalesce(n.node_id, o.symbol_id) as node_id, max(score) as score from sem sh join o on o.document_id = sh.result_id left join n on n.symbol_id = o.symbol_id where role = 'definition' group by 1 order by 2 desc, 1 limit 8)"""
+
+
+def _fused_sql() -> str:
+    return f"""{_MODULE_HITS}, {_semantic_seed_sql()}, fn as ({_intent('frozen catalog').replace('limit 20', 'limit 8').replace('row_number() over (order by score desc, node_id) as rank', 'score')}),
+      ac as (select node_id, 1.0 / (60 + row_number() over (order by score desc, node_id)) as s, 'module' as src from ms union all select node_id, 1.0 / (60 + row_number() over (order by score desc, node_id)), 'function' from fn union all select node_id, 1.0 / (60 + row_number() over (order by score desc, node_id)), 'semantic' from ss),
+      fu as (select node_id, sum(s)::double as score, string_agg(distinct src, ',' order by src) as sources from ac group by 1 order by round(sum(s)::double, 9) desc, node_id limit 13)"""
+
+
 ORACLES = {
+    "g_module_search": with_sql("n e i", "select community, score::double as score, cohesion from mh", _MODULE_HITS, True),
+    "g_module_seeds": with_sql("n e i", "select node_id, score::double as score from ms", _MODULE_HITS, True),
+    "g_semantic_seeds": with_sql("d n o", "select node_id, score from ss", _semantic_seed_sql()),
+    "g_explore_seeds": with_sql("d o n e i", "select node_id, round(score, 9) as score, sources from fu", _fused_sql(), True),
+    "g_explore_all": with_sql("d o n e i", "select node, min(h)::int as hop from (select node, 0 as h from x0 union all select node, 1 from x1 union all select node, 2 from x2) group by 1", _fused_sql() + """,
+      bo as (select src_node as a, dst_node as b from e where edge_type = 'calls' union select dst_node, src_node from e where edge_type = 'calls'), x0 as (select node_id as node from fu), x1 as (select distinct b as node from bo where a in (select node from x0)), x2 as (select distinct b as node from bo where a in (select node from x1))""", True),
+    "g_explore_symbol": with_sql("n e busy", "select node, hop from hops", _HOPS.format(t="calls")),
+    "g_intent_subgraph": with_sql("n e i", "select c1.node as node_id, mo.community, mo.intent, mo.cohesion, 1.0::double as assign_score from c1 join mo on mo.community = c1.community where mo.community in (select community from mo order by size desc, community limit 3)", _MODULES, True),
     "g_nodes": with_sql("d s o", """select node_id, symbol_id, node_type, path, signature from every union all
       select * from (select 'pkg:' || package as node_id, 'pkg:' || package as symbol_id, 'package' as node_type, min(path) as path, replace(package, '/', '.') as signature from own where t in ('class', 'interface') and coalesce(trim(enclosing_symbol), '') = '' and coalesce(package, '') <> '' group by package) where node_id not in (select node_id from every)""",
       f"""ks as (select *, {_KIND} as t from (select *, lower(coalesce(kind, '')) as k from s)),
