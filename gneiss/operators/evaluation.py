@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gneiss import runtime
+
 
 def judged(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """Ranked rows with ``rel`` 1 for a relevant result."""
@@ -58,16 +60,38 @@ def union_of(channels: list[DataFrame]) -> DataFrame:
 
 
 def lower_percentile(values: DataFrame, group: str, value: str, share: float) -> DataFrame:
-    """(group, value): the element at int(share * (n - 1)) of the sorted values."""
-    w = Window.partitionBy(group)
-    numbered = values.filter(F.col(value).isNotNull()).select(group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return numbered.filter(F.col("i") == F.floor(F.lit(share) * (F.col("n") - 1)).cast("long")).select(group, value)
+    """(group, value): the element at int(share * (n - 1)) of the sorted values.
+
+    Equal values are counted first; counts are summed within range partitions of (group, value), shifted by the partitions before,
+    so no task sorts a whole group.
+    """
+    counts = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    ordered = runtime.materialise(counts.repartitionByRange(group, value).withColumn("part", F.spark_partition_id()), "counts")
+    sums = ordered.groupBy(group, "part").agg(F.sum("c").alias("s"))
+    whole = Window.partitionBy(group)
+    shift = sums.select(group, "part", (F.sum("s").over(whole.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(whole).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy("part", group).orderBy(value))
+    placed = ordered.withColumn("reach", inside).join(F.broadcast(shift), [group, "part"]).withColumn("reach", F.col("reach") + F.col("before"))
+    at = F.floor(F.lit(share) * (F.col("n") - 1))
+    return placed.filter((at < F.col("reach")) & (at >= F.col("reach") - F.col("c"))).select(group, value)
 
 
 def grep(documents: DataFrame, pattern: str) -> DataFrame:
     """(relative_path, rank): paths of the documents that match, in order of path."""
     hits = documents.filter(F.col("content").rlike(pattern)).select("relative_path").distinct()
-    return hits
+    return runtime.numbered(hits, ["relative_path"])
+
+
+def unmatched(found: DataFrame, expected: DataFrame, column: str) -> DataFrame:
+    """(column, side): what only the search found ('extra') and what only was expected ('missing')."""
+    extra = found.select(column).distinct().join(expected.select(column), column, "left_anti").withColumn("side", F.lit("extra"))
+    missing = expected.select(column).distinct().join(found.select(column), column, "left_anti").withColumn("side", F.lit("missing"))
+    return extra.unionByName(missing)
+
+
+def graded_gain(graded: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, dcg): sum of (2^rel - 1) / log2(rank + 1) over (query_id, rank, rel) down to rank ``k``."""
+    return graded.filter(F.col("rank") <= k).groupBy("query_id").agg(F.round(F.sum((F.pow(F.lit(2.0), "rel") - 1) / F.log2(F.col("rank") + 1.0)), 6).alias("dcg"))
 
 
 def missing_gold(relevant: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -136,3 +136,25 @@ def innermost(points: DataFrame, spans: DataFrame, key: str = "document_id") ->
     # One pass of map-side combining instead of a sort per point.
     best = hits.groupBy(key, "point_id").agg(F.min(F.struct(extent.alias("extent"), F.col("sl"), F.col("sc"), F.col("span_id"))).alias("m"))
     return best.select(key, "point_id", F.col("m.span_id").alias("span_id"), F.col("m.extent").alias("extent"))
+
+
+def first_paths(occurrences: DataFrame, documents: DataFrame) -> DataFrame:
+    """(symbol_id, path): the first non-empty path among the definitions of a symbol, by line."""
+    met = occurrences.filter("role = 'definition'").join(documents.select("document_id", "relative_path"), "document_id").filter("relative_path <> ''")
+    return met.groupBy("symbol_id").agg(F.min(F.struct("range_start_line", "relative_path")).alias("m")).select("symbol_id", F.col("m.relative_path").alias("path"))
+
+
+def in_snapshot(nodes: DataFrame, repo: str, commit: str) -> DataFrame:
+    """Nodes whose JSON metadata name the snapshot, compared as values."""
+    meta = F.from_json("meta_json", "repo string, commit string")
+    return nodes.filter((meta["repo"] == repo) & (meta["commit"] == commit))
+
+
+def merge_payloads(primary: DataFrame, fallback: DataFrame, top_k: int) -> DataFrame:
+    """(result_id, score, payload, explain): best score of each result of two lists; the payload of the first that has one, and
+    the explanations of both."""
+    both = primary.withColumn("_o", F.lit(0)).unionByName(fallback.withColumn("_o", F.lit(1)))
+    filled = F.min(F.when(F.coalesce("payload", F.lit("")) != "", F.struct("_o", "payload")))
+    explained = F.array_join(F.transform(F.sort_array(F.collect_set(F.when(F.coalesce("explain", F.lit("")) != "", F.struct("_o", "explain")))), lambda x: x["explain"]), "; ")
+    merged = both.groupBy("result_id").agg(F.max("score").alias("score"), filled.alias("p"), explained.alias("explain"))
+    return merged.select("result_id", "score", F.col("p.payload").alias("payload"), "explain").orderBy(F.desc("score"), F.desc("result_id")).limit(top_k)

@@ -187,3 +187,39 @@ def intent_score(text: Column | str, query: str) -> Column:
     for term in (t for t in re.split(r"[^A-Za-z0-9_]+", query.lower()) if t):
         score = score + low.contains(term).cast("double")
     return score
+
+
+def snippet(content: Column | str, line: Column | str, around: int = 8) -> Column:
+    """The lines around a 0-based line, ``around`` of them to each side."""
+    lines = F.split(F.coalesce(_c(content), F.lit("")), "\n", -1)
+    first = F.greatest(F.lit(0), _c(line) - around)
+    return F.array_join(F.slice(lines, first + 1, F.greatest(F.lit(0), _c(line) + around + 1 - first)), "\n")
+
+
+def projected(content: Column | str, most: int) -> tuple[Column, Column]:
+    """(code, truncated): the first ``most`` characters, and whether there are more."""
+    return F.substring(_c(content), 1, most), F.length(_c(content)) > most
+
+
+def intent_tags(role: Column | str, path: Column | str) -> Column:
+    """The role and the first segment of the path, without blanks."""
+    first = F.split(F.coalesce(_c(path), F.lit("")), "/")[0]
+    return F.filter(F.array(_c(role), first), lambda t: F.trim(F.coalesce(t, F.lit(""))) != "")
+
+
+def intent_quality(intent: Column | str) -> Column:
+    """0.65 for a text from the template, known by 'acts as', 0.85 for any other."""
+    return F.when(F.coalesce(_c(intent), F.lit("")).contains("acts as"), 0.65).otherwise(0.85)
+
+
+def package_glob(package: Column | str) -> Column:
+    """Glob of the sources of a package: its folders anywhere in a path."""
+    return F.concat(F.lit("**/"), F.translate(F.trim(_c(package)), ".", "/"), F.lit("/**/*.java"))
+
+
+def entity_pattern(kind: str, name: str) -> str:
+    """Regular expression of a declaration: types by their keyword, methods by the parenthesis, anything else as a word."""
+    word = re.escape(name)
+    if kind in ("class", "interface", "enum", "record", "annotation"):
+        return rf"\b(?:class|interface|enum|record|@interface)\s+{word}\b"
+    return rf"\b{word}\s*\(" if kind in ("method", "function", "constructor") else rf"\b{word}\b"

@@ -196,7 +196,11 @@ def s_delete_snapshot(s: SparkSession, d: str) -> DataFrame:
 
 
 def s_purge_choice(s: SparkSession, d: str) -> DataFrame:
-    return upkeep.purge_choice(_chunks(s, d), "no/such", "0")
+    """For the largest snapshot and for the table cut down to it."""
+    ch = _chunks(s, d)
+    top = c.documents(s, d).filter("repo is not null and commit_hash is not null").groupBy("repo", "commit_hash").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "repo", "commit_hash").first()
+    own = ch.filter(F.col("document_id").startswith(f"{top['repo']}:{top['commit_hash']}:"))
+    return upkeep.purge_choice(ch, top["repo"], top["commit_hash"]).select(F.lit("all").alias("chunks"), "choice").unionByName(upkeep.purge_choice(own, top["repo"], top["commit_hash"]).select(F.lit("snapshot").alias("chunks"), "choice"))
 
 
 def s_table_counts(s: SparkSession, d: str) -> DataFrame:
@@ -299,13 +303,14 @@ ORACLES = {
     "e_union": with_sql("d", "select query_id, result_id, min(rank)::int as rank from (select * from rk union all select query_id, result_id, row_number() over (partition by query_id order by result_id) from rk) group by 1, 2 having min(rank) <= 5", _EVAL),
     "e_missing_gold": with_sql("d", "select query_id, result_id from rel where (query_id, result_id) not in (select (query_id, result_id) from rk where rank <= 10)", _EVAL),
     "a_p95": "select event_type, value from (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null) where i = floor(0.95 * (n - 1))",
-    "q_grep": with_sql("d", "select distinct relative_path from d where regexp_matches(content, '(?i)lexer\\w*\\(')"),
+    "q_grep": with_sql("d", "select relative_path, row_number() over (order by relative_path)::int as rank from (select distinct relative_path from d where regexp_matches(content, '(?i)lexer\\w*\\('))"),
     "s_ndjson_split": with_sql("d", "select coalesce(language, '') as language, count(*) as n, sum(coalesce(occurrence_count, 0))::bigint as occurrences, sum(length(coalesce(content, '')))::bigint as chars from d where relative_path is not null group by 1"),
     "s_upsert_last_wins": with_sql("s", "select symbol_id, display_name, kind, enclosing_symbol from s"),
     "s_upsert_tables": "with b as (select distinct symbol_id, 'replaced' as kind from symbols where symbol_id like 'ts:%') select distinct symbol_id, kind from symbols where kind = 'Method' and symbol_id is not null and symbol_id not in (select symbol_id from b) union all select * from b",
     "s_insert_or_ignore": with_sql("e", "select edge_id, 'old' as origin from e where edge_type = 'calls' union all select edge_id, 'new' from e where weight >= 0.5 and edge_id not in (select edge_id from e where edge_type = 'calls')"),
     "s_delete_snapshot": with_sql("d", "select document_id || ':doc:p1' as chunk_id, repo from d left join (select repo, commit_hash, 1 as hit from d group by 1, 2 order by count(*) desc, 1, 2 limit 1) x using (repo, commit_hash) where x.hit is null"),
-    "s_purge_choice": "select 'delete_prefix' as choice",
+    "s_purge_choice": with_sql("d", "select 'all' as chunks, case when count(*) filter (not starts_with(document_id, (select p from t))) > 0 then 'delete_prefix' else 'drop_table' end as choice from d union all select 'snapshot', case when count(*) filter (not starts_with(document_id, (select p from t))) > 0 then 'delete_prefix' else 'drop_table' end from d where starts_with(document_id, (select p from t))",
+      "t as (select repo || ':' || commit_hash || ':' as p from (select repo, commit_hash, count(*) as n from d where repo is not null and commit_hash is not null group by 1, 2 order by n desc, repo, commit_hash limit 1))"),
     "s_table_counts": " union all ".join(f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in ("documents", "symbols", "occurrences", "code_nodes", "code_edges")),
     "s_smoke_symbol": with_sql("s", "select symbol_id, display_name from s where display_name <> '<init>' order by length(display_name) desc, display_name, symbol_id limit 1"),
     "s_targets": "select repo, commit_hash as base_sha, count(*) as n_samples, array_to_string(list_sort(list_distinct(list(source))), ',') as sample_ids from documents where repo is not null group by 1, 2",

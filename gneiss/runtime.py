@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows per Arrow batch handed to Python; texts can be long, so batches stay small.
 ARROW_ROWS = 1000
@@ -49,6 +50,21 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to the end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """``rows`` with their number from 1 in the order of the columns, without one task for all of them: numbers within range
+    partitions, shifted by the rows of the partitions before."""
+    ordered = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    before = ordered.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ordered.withColumn("_rn", inner).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, (F.col("_rn") + F.col("_before")).cast("int")).drop("_part", "_rn", "_before")
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss import runtime
 from gneiss.operators import text
 from gneiss.sources import records
 
@@ -31,10 +32,8 @@ def embed_new(spark: SparkSession, chunks: DataFrame, table: str, checkpoint: st
 
     def write(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates(["chunk_id"])
-        try:
+        if runtime.exists(spark, table):
             fresh = fresh.join(spark.read.parquet(table).select("chunk_id"), "chunk_id", "left_anti")
-        except Exception:  # noqa: BLE001 - the table does not exist before the first batch
-            pass
         embed(fresh).write.mode("append").parquet(table)
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
