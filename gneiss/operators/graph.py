@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
 
     Every round links nodes to the least node seen from their neighbourhood, which halves path lengths; rounds end when
     the links no longer change, or when at most ``local_links`` (a fixed bound) are left, which one task finishes by
-    union-find with the same result.  Links are combined by node before each shuffle.  Null ends are left out.
+    union-find with the same result.  Links are combined by node before each shuffle, and the centre of a large star is
+    joined in salted parts.  Null ends are left out.
     """
     pairs = runtime.materialise(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null"), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -35,7 +36,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: every larger neighbour of a node links to the node's least neighbour.
-        large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("m").alias("a"), "b").distinct()
+        large = runtime.join_salted(both.filter("b > a"), least, ["a"], ["b"]).filter("b <> m").select(F.col("m").alias("a"), "b").distinct()
         # Small star: a node and its smaller neighbours link to the least of them.
         low = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
         small = large.join(low, large["b"] == low["n"]).select(F.col("m"), F.explode(F.array("a", "b")).alias("b")).filter("b <> m").select(F.col("m").alias("a"), "b").distinct()

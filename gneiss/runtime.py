@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -70,8 +71,9 @@ def _forget(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the JVM may be gone at exit
-        pass
+    except Exception:  # noqa: BLE001 - the JVM is gone where the session was stopped before the end
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
 
 
 def heavy_keys(big: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
