@@ -212,7 +212,7 @@ def pack(items: DataFrame, windows: list[tuple[int, int]], id_col: str = "doc_id
     cut = _cut(items, windows, id_col, size_col)
     # The plan's size is bounded by the capacities, not by the records.
     plan: dict[int, np.ndarray] = {}
-    for row in _plan(cut).select("window_id", "kind", "first", "container", "times").toLocalIterator():
+    for row in _plan(cut).select("window_id", "kind", "first", "container", "times").collect():
         plan.setdefault(row[0], []).append(row[1:])
     sent = spark.sparkContext.broadcast({w: np.array(sorted(rows), np.int64) for w, rows in plan.items()})
 
