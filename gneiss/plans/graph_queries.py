@@ -114,6 +114,16 @@ def g_metrics(s: SparkSession, d: str) -> DataFrame:
     return m.agg(F.count("*").alias("n_communities"), F.sum((F.col("n") == 1).cast("long")).alias("n_singletons"), F.sum("n").alias("n_nodes"), F.round(F.avg((F.col("n") == 1).cast("double")), 6).alias("singleton_ratio"))
 
 
+def g_modular_communities(s: SparkSession, d: str) -> DataFrame:
+    return com.modular_communities(_graph(s, d), _functions(s, d))
+
+
+def g_modularity(s: SparkSession, d: str) -> DataFrame:
+    """Modularity of the communities by close links."""
+    g = _graph(s, d)
+    return com.modularity(g, com.communities(g, _functions(s, d), _FINE))
+
+
 def g_stability(s: SparkSession, d: str) -> DataFrame:
     g, f = _graph(s, d), _functions(s, d)
     return com.stability(*(com.communities(g, f, x) for x in (_LEAST, 0.45)))
@@ -291,7 +301,7 @@ def g_intent_subgraph(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     g_nodes, g_belongs_to, g_relation_edges, g_occurrence_edges, g_new_edges, g_degrees, g_degrees_calls, g_khop, g_subgraph, g_components, g_edge_ids, g_topology, g_candidate_graph, g_communities, g_cohesion,
-    g_dominant_role, g_metrics, g_stability, g_objective, g_intent_roles, j_neighbour_context, g_summary, g_isolated, g_isolated_calls, g_repair, g_singletons, g_ratios, g_seed_nodes, g_explore,
+    g_dominant_role, g_modular_communities, g_modularity, g_metrics, g_stability, g_objective, g_intent_roles, j_neighbour_context, g_summary, g_isolated, g_isolated_calls, g_repair, g_singletons, g_ratios, g_seed_nodes, g_explore,
     g_module_search, g_module_seeds, g_semantic_seeds, g_explore_seeds, g_explore_all, g_explore_symbol, g_intent_subgraph,
 )}
 
@@ -412,6 +422,7 @@ ORACLES = {
     "g_communities": with_sql("n e i", "select node, community from c1", f"{_G}, {_comm('c1', _LEAST)}", True),
     "g_cohesion": with_sql("n e i", "select community, size, cohesion from c1_k", f"{_G}, {_comm('c1', _LEAST)}, {_COH.format(n='c1')}", True),
     "g_dominant_role": with_sql("n e i", "select community, role from (select community, role_in_chain as role, row_number() over (partition by community order by count(*) desc, role_in_chain) as rn from c1 join i on i.node_id = c1.node group by 1, 2) where rn = 1", f"{_G}, {_comm('c1', _LEAST)}", True),
+    "g_modularity": with_sql("n e i", "select round(sum(i / t - pow(s / t, 2)), 6) as modularity from (select x.community, sum(case when x.community = y.community then w else 0 end) as i, sum(w) as s from two join c1 x on x.node = a join c1 y on y.node = b group by 1), (select sum(w) as t from two)", f"{_G}, {_comm('c1', _FINE)}, two as (select a, b, weight as w from g union all select b, a, weight from g)", True),
     "g_metrics": with_sql("n e i", "select count(*) as n_communities, count(*) filter (c = 1) as n_singletons, sum(c)::bigint as n_nodes, round(avg((c = 1)::int), 6) as singleton_ratio from (select community, count(*) as c from c1 group by 1)", f"{_G}, {_comm('c1', _LEAST)}", True),
     "g_stability": with_sql("n e i", "select count(*) as pairs, round(avg(((p.x = q.x) = (p.y = q.y))::int), 6) as stability from m p join m q on p.rn - q.rn between 1 and 50", f"{_G}, {_comm('c1', _LEAST)}, {_comm('c2', 0.45)}, m as (select c1.community as x, c2.community as y, row_number() over (order by c1.node) as rn from c1 join c2 using (node))", True),
     "g_objective": with_sql("n e i", """select resolution, n_communities, n_singletons, round(avg_cohesion, 6) as avg_cohesion, stability, objective, row_number() over (order by objective desc, resolution) = 1 as selected

@@ -54,3 +54,24 @@ def test_candidate_graph_of_tables_has_all_neighbours(spark):
     assert set(got) <= want
     dots = {(a, b): float(np.dot(dict(f)[a], dict(f)[b])) for a, b in want}
     assert all(p in got for p in want if 0.4 * dots[p] > 0.0501)
+
+
+def test_modular_communities_find_planted_groups(spark):
+    rng = random.Random(3)
+    nodes = [(f"n{i:02}",) for i in range(60)]
+    links = [(a, b, 1.0) for i, (a,) in enumerate(nodes) for j, (b,) in enumerate(nodes) if i < j and rng.random() < (0.5 if i // 20 == j // 20 else 0.02)]
+    g, n = spark.createDataFrame(links, "a string, b string, weight double"), spark.createDataFrame([*nodes, ("alone",)], "node string")
+    found = com.modular_communities(g, n)
+    got = {r.node: r.community for r in found.collect()}
+    assert len(got) == 61 and got["alone"] == "alone"
+    groups = [[got[f"n{i:02}"] for i in range(k, k + 20)] for k in (0, 20, 40)]
+    assert all(max(map(x.count, x)) >= 17 for x in groups)
+    planted = spark.createDataFrame([(f"n{i:02}", str(i // 20)) for i in range(60)], "node string, community string")
+    q, best = (com.modularity(g, m).first()[0] for m in (found, planted))
+    strength = {}
+    for a, b, _ in links:
+        strength[a], strength[b] = strength.get(a, 0) + 1, strength.get(b, 0) + 1
+    total = 2 * len(links)
+    plain = sum((2 if int(a[1:]) // 20 == int(b[1:]) // 20 else 0) for a, b, _ in links) / total - sum((sum(v for x, v in strength.items() if int(x[1:]) // 20 == k) / total) ** 2 for k in range(3))
+    assert abs(best - plain) < 1e-6 and q >= 0.9 * best
+    assert com.modular_communities(g.limit(0), n.limit(0)).count() == 0
