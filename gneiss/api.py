@@ -100,6 +100,23 @@ class Index:
         final = fusion.prefer_source(fused, self._paths(docs), q.text)
         return final.orderBy(F.desc("score"), "result_id").limit(q.top_k)
 
+    def described(self, results: DataFrame, code_chars: int = 200) -> DataFrame:
+        """Results with what is known of them: (result_id, score, type, path, name, code, truncated, source_mode).
+
+        A result is a document, with its first characters, or a symbol, with its name and the path of its first definition.
+        """
+        t = self.tables
+        if "result_id" not in results.columns:
+            results = results.withColumnRenamed("symbol_id", "result_id")
+        code, truncated = text.projected("content", code_chars)
+        docs = t["documents"].select(F.col("document_id").alias("result_id"), F.lit("document").alias("type"), F.col("relative_path").alias("path"), F.lit(None).cast("string").alias("name"), code.alias("code"), truncated.alias("truncated"))
+        known = docs
+        if "symbols" in t:
+            first = symbols.first_paths(t["occurrences"], t["documents"])
+            named = t["symbols"].join(first, "symbol_id", "left").select(F.col("symbol_id").alias("result_id"), F.lit("symbol").alias("type"), "path", F.col("display_name").alias("name"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("boolean").alias("truncated"))
+            known = docs.unionByName(named)
+        return results.join(known, "result_id", "left").withColumn("source_mode", F.lit(self.source_mode))
+
     @staticmethod
     def _paths(docs: DataFrame) -> DataFrame:
         return docs.select(F.col("document_id").alias("result_id"), F.col("relative_path").alias("path"))

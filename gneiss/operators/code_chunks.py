@@ -45,6 +45,8 @@ class Options:
     gap_tokens: int = 100
     context_tokens: int = 120
     count: Callable[[str], int] = count_tokens
+    #: Syntax spans (start, end, kind) of a text, for definitions that come without a range of their own.
+    syntax: Callable[[str], list[tuple[int, int, str]]] | None = None
 
 
 @dataclass
@@ -168,6 +170,10 @@ def chunk_document(doc: str, text: str, definitions: list[dict], options: Option
             content = f"{block}\n{body}" if block else body
             rows.append((f"{name}:p{part}", doc, part, start + a + 1, start + b, max(1, options.count(content)), symbols, content))
 
+    if options.syntax and not all(d.get("enclosed", True) for d in definitions):
+        blocks = options.syntax(text)
+        around = [None if d.get("enclosed", True) else smallest_around(blocks, "type" if d["container"] else "method", d["line"]) for d in definitions]
+        definitions = [d | ({"start": a[0], "end": a[1]} if a else {}) for d, a in zip(definitions, around, strict=True)]
     known = sorted({(d["start"], d["end"], d["symbol_id"]): d for d in definitions if 0 <= d["start"] < len(lines)}.items())
     spans = [Span([s], a, min(len(lines), max(a + 1, b)), min(a, comment_start(lines, d["line"], options.lookback)), bool(d["container"]), d["owner_symbol"] or "") for (a, b, s), d in known if d["function"] or d["container"]]
     spans = [s for s in spans if s.end - s.start >= options.min_lines]
@@ -221,10 +227,10 @@ def symbol_contexts(symbols: DataFrame, occurrences: DataFrame, documents: DataF
 def code_chunks(documents: DataFrame, occurrences: DataFrame, symbols: DataFrame, contexts: DataFrame, options: Options = Options()) -> DataFrame:
     """Rows of ``CHUNK``: the chunks of every code document (see the module)."""
     runtime.text_batches(documents.sparkSession)
-    start, end, _ = effective_span()
-    place = occurrences.filter("role = 'definition'").select("document_id", "symbol_id", F.col("range_start_line").alias("line"), start.alias("start"), (end + 1).alias("end"))
+    start, end, enclosed = effective_span()
+    place = occurrences.filter("role = 'definition'").select("document_id", "symbol_id", F.col("range_start_line").alias("line"), start.alias("start"), (end + 1).alias("end"), enclosed.alias("enclosed"))
     info = symbols.select("symbol_id", F.col("enclosing_symbol").alias("owner_symbol"), kinds.is_function_kind("kind").alias("function"), kinds.is_container_kind("kind").alias("container"))
-    row = F.struct("symbol_id", "line", "start", "end", "owner_symbol", "function", "container", *[c for c in contexts.columns if c != "symbol_id"])
+    row = F.struct("symbol_id", "line", "start", "end", "enclosed", "owner_symbol", "function", "container", *[c for c in contexts.columns if c != "symbol_id"])
     gathered = place.join(info, "symbol_id").join(contexts, "symbol_id", "left").groupBy("document_id").agg(F.collect_set(row).alias("definitions"))
     code = documents.filter(F.col("document_id").isNotNull() & (F.col("content") != "") & kinds.is_code("relative_path", "language")).select("document_id", "content")
 

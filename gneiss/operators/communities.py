@@ -17,6 +17,22 @@ def role_in_chain(fan_in: Column, fan_out: Column) -> Column:
     )
 
 
+def fused_vectors(intents: DataFrame, dim: int = 32) -> DataFrame:
+    """(node_id, semantic, topology, fused): the hash vector of the intent text, the four topology values - degrees and chain depth
+    over ten, at most 1, and whether the node is an entry - and both in one list.
+
+    ``intents`` is (node_id, intent_text, fan_in, fan_out, chain_depth).
+    """
+    from gneiss.operators.retrieval_index import record_vectors
+
+    norm = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(c), F.lit(0)) / 10.0))
+    topology = F.array(norm("fan_in"), norm("fan_out"), norm("chain_depth"), F.when((F.col("fan_in") == 0) & (F.col("fan_out") > 0), 1.0).otherwise(0.0))
+    semantic = record_vectors(intents, "node_id", "intent_text", dim).withColumnRenamed("id", "node_id").withColumnRenamed("vec", "semantic")
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    joined = intents.select("node_id", topology.alias("topology")).join(semantic, "node_id", "left").withColumn("semantic", F.coalesce("semantic", zeros))
+    return joined.select("node_id", "semantic", "topology", F.concat("semantic", "topology").alias("fused"))
+
+
 def topology_pairs(edges: DataFrame) -> DataFrame:
     """(a, b), a < b: nodes joined by a call in either direction."""
     calls = edges.filter("edge_type = 'calls' and src_node <> dst_node")

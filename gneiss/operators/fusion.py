@@ -73,3 +73,10 @@ def prefer_source(results: DataFrame, paths: DataFrame, query: str, factor: floa
     joined = results.join(paths, "result_id", "left")
     lowered = F.when(F.col("score") >= 0, F.col("score") * factor).otherwise(F.col("score") / factor)
     return joined.select("result_id", F.when(text.is_test_path("path"), lowered).otherwise(F.col("score")).alias("score"))
+
+
+def with_payload(fused: DataFrame, channels: list[DataFrame]) -> DataFrame:
+    """``fused`` with the payload of the first channel (result_id, payload) that has one for the result."""
+    stacked = reduce(DataFrame.unionByName, (c.select("result_id", "payload", F.lit(i).alias("o")) for i, c in enumerate(channels)))
+    first = stacked.filter("payload is not null").groupBy("result_id").agg(F.min(F.struct("o", "payload")).alias("p"))
+    return fused.join(first, "result_id", "left").select(*fused.columns, F.col("p.payload").alias("payload"))

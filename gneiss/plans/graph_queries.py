@@ -152,6 +152,12 @@ def g_intent_roles(s: SparkSession, d: str) -> DataFrame:
     return joined.select("node_id", "role", "fan_in", "fan_out", norm("fan_in").alias("t_in"), norm("fan_out").alias("t_out"), intent.alias("intent_text"), F.sha1(F.concat_ws("|", "node_id", "signature", F.lit("sketch-v1"), F.lit("p1"))).alias("cache_key"))
 
 
+def g_intent_vectors(s: SparkSession, d: str) -> DataFrame:
+    """The fused vector of every function intent, place by place, and the sum of its semantic part."""
+    v = com.fused_vectors(c.intents(s, d).select("node_id", "intent_text", "fan_in", "fan_out", "chain_depth"))
+    return v.select("node_id", F.round(F.aggregate("semantic", F.lit(0.0), lambda a, x: a + x), 6).alias("semantic_sum"), *(F.col("fused")[32 + i].alias(f"t{i}") for i in range(4)), F.size("fused").alias("dim"))
+
+
 def j_neighbour_context(s: SparkSession, d: str) -> DataFrame:
     """The three heaviest callees of every function, with their intent where there is one."""
     calls = c.edges(s, d).filter("edge_type = 'calls'").join(c.nodes(s, d).select(F.col("node_id").alias("dst_node"), "signature"), "dst_node", "left").join(c.intents(s, d).select(F.col("node_id").alias("dst_node"), "intent_text"), "dst_node", "left")
@@ -301,7 +307,7 @@ def g_intent_subgraph(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     g_nodes, g_belongs_to, g_relation_edges, g_occurrence_edges, g_new_edges, g_degrees, g_degrees_calls, g_khop, g_subgraph, g_components, g_edge_ids, g_topology, g_candidate_graph, g_communities, g_cohesion,
-    g_dominant_role, g_modular_communities, g_modularity, g_metrics, g_stability, g_objective, g_intent_roles, j_neighbour_context, g_summary, g_isolated, g_isolated_calls, g_repair, g_singletons, g_ratios, g_seed_nodes, g_explore,
+    g_dominant_role, g_modular_communities, g_modularity, g_metrics, g_stability, g_objective, g_intent_roles, g_intent_vectors, j_neighbour_context, g_summary, g_isolated, g_isolated_calls, g_repair, g_singletons, g_ratios, g_seed_nodes, g_explore,
     g_module_search, g_module_seeds, g_semantic_seeds, g_explore_seeds, g_explore_all, g_explore_symbol, g_intent_subgraph,
 )}
 
@@ -431,6 +437,9 @@ ORACLES = {
       run{k} as (select {x}::double as resolution, count(*) as n_communities, count(*) filter (size = 1) as n_singletons, avg(cohesion) as avg_cohesion, (select round(avg(((p.x = q.x) = (p.y = q.y))::int), 6) from m{k} p join m{k} q on p.rn - q.rn between 1 and 50) as stability from c{k}_k)""" for k, x in ((1, _LEAST), (2, 0.45))), True),
     "g_intent_roles": with_sql("n e", f"""select n.node_id, {_ROLE} as role, deg.fan_in, deg.fan_out, least(1.0, deg.fan_in / 10.0)::double as t_in, least(1.0, deg.fan_out / 10.0)::double as t_out, n.signature || ' acts as ' || {_ROLE} || ' in ' || n.path as intent_text, sha1(concat_ws('|', n.node_id, n.signature, 'sketch-v1', 'p1')) as cache_key
       from n join deg using (node_id) where n.node_type = 'method'""", _deg("edge_type = 'calls'")),
+    "g_intent_vectors": with_sql("i", """select i.node_id, round(coalesce(sv, 0), 6)::double as semantic_sum, least(1.0, coalesce(fan_in, 0) / 10.0)::double as t0, least(1.0, coalesce(fan_out, 0) / 10.0)::double as t1, least(1.0, coalesce(chain_depth, 0) / 10.0)::double as t2,
+      case when fan_in = 0 and fan_out > 0 then 1.0 else 0.0 end::double as t3, 36 as dim from i left join (select node_id, sum(v) / sqrt(sum(v * v)) as sv from (select node_id, ('0x' || substr(h, 1, 8))::bigint % 32 as idx, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 0 then 1.0::double else -1.0::double end) as v
+        from (select node_id, sha1(unnest(list_filter(regexp_split_to_array(coalesce(intent_text, ''), '\\s+'), lambda t: t <> ''))) as h from i) group by 1, 2) where v <> 0 group by 1) using (node_id)"""),
     "j_neighbour_context": with_sql("n e i", "select src_node, dst_node, r::int as r, signature, intent_text from (select e.src_node, e.dst_node, n.signature, i.intent_text, row_number() over (partition by e.src_node order by e.weight desc nulls last, e.dst_node, e.edge_id) as r from e left join n on n.node_id = e.dst_node left join i on i.node_id = e.dst_node where e.edge_type = 'calls') where r <= 3"),
     "g_isolated": with_sql("n e i", "select * from kinds", f"{_F}, {_NEAR}, {_ALONE.format(t='true')}, {_TYPES}"),
     "g_isolated_calls": with_sql("n e i", "select * from kinds", f"{_F}, {_NEAR}, {_CALLS_ALONE}, {_TYPES}"),

@@ -139,6 +139,13 @@ def scan(text: str) -> Iterator[dict]:
         head = m.end()
 
 
+def spans(text: str) -> list[tuple[int, int, str]]:
+    """Half-open line spans (start, end, kind) of the types and methods of one file; kind is 'type' or 'method'."""
+    rows = list(scan(text))
+    kinds = {(r["symbol"], r["sl"], r["sc"]): "type" if r["kind"] in _KINDS.values() else "method" for r in rows if r["what"] == "declare"}
+    return [(r["sl"], r["el"] + 1, kinds[r["symbol"], r["sl"], r["sc"]]) for r in rows if r["what"] == "close"]
+
+
 def scan_files(files: DataFrame) -> DataFrame:
     """Rows of ``SCAN`` of every file (path, content); the end of a span is on the row of its declaration."""
     runtime.text_batches(files.sparkSession)

@@ -74,6 +74,14 @@ def test_syntax_span():
     assert cc.smallest_around(spans, "method", 40) is None
 
 
+def test_definitions_without_range_take_syntax_spans():
+    from gneiss.sources import java_syntax
+
+    bare = [d | {"end": d["line"] + 1, "enclosed": False} for d in DEFS]
+    assert (3, 9, "method") in java_syntax.spans(TEXT) and (0, 32, "type") in java_syntax.spans(TEXT)
+    assert cc.chunk_document("d", TEXT, bare, cc.Options(context_tokens=0, syntax=java_syntax.spans)) == cc.chunk_document("d", TEXT, DEFS, PLAIN)
+
+
 def test_leaves_equal_brute_force(spark):
     import random
 

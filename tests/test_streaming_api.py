@@ -84,6 +84,34 @@ def test_queries(index):
             ix.run(bad)
 
 
+def test_described_results(spark, index):
+    ix = Index(index)
+    r = {x.result_id: x for x in ix.described(ix.run(Query("capacity expansion", blend="rrf")), 8).collect()}
+    doc = r["r:c:src/Buffer.java"]
+    assert (doc.type, doc.path, doc.code, doc.truncated, doc.source_mode) == ("document", "src/Buffer.java", "capacity", True, "scip")
+    s = ix.described(ix.run(Query("expand", structured_op="symbol_exact"))).first()
+    assert (s.type, s.name, s.path, s.code) == ("symbol", "expand", "src/Buffer.java", None)
+    from gneiss.operators import fusion
+
+    channel = lambda *x: spark.createDataFrame(list(x), "result_id string, payload string")
+    fused = spark.createDataFrame([("a", 1.0), ("b", 0.5), ("c", 0.1)], "result_id string, score double")
+    got = fusion.with_payload(fused, [channel(("a", None), ("b", "one")), channel(("a", "two"), ("b", "three"))])
+    assert {x.result_id: x.payload for x in got.collect()} == {"a": "two", "b": "one", "c": None}
+
+
+def test_errors_as_values():
+    from gneiss import errors
+    from gneiss.streaming.embedding import ProviderError
+
+    code = lambda e: errors.described(e)["code"]
+    assert [code(x) for x in (UnsupportedCapability("x"), ValueError("mode must be one of a"), ValueError("text is empty"), ProviderError("x", 429), TimeoutError("x"), ConnectionError("x"), FileNotFoundError("x"), PermissionError("x"), KeyError("x"))] == [
+        "UNSUPPORTED_CAPABILITY", "UNSUPPORTED_OPERATION", "INPUT_VALIDATION", "RATE_LIMITED", "TIMEOUT", "UPSTREAM_ERROR", "RESOURCE_NOT_FOUND", "PERMISSION_DENIED", "INTERNAL_ERROR",
+    ]
+    shown = errors.described(ConnectionError("at /data/x: refused"), ("/data/x",))
+    assert shown["retryable"] and shown["message"] == "at <path>: refused" and shown["next_steps"]
+    assert set(errors.CODES) == set(errors._STEPS)
+
+
 def test_bm25_equals_sqlite(spark):
     import sqlite3
 
