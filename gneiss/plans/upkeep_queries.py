@@ -9,6 +9,7 @@ from gneiss.operators import evaluation, symbols, text, upkeep, vectors
 from gneiss.plans import canonical as c
 from gneiss.plans.canonical import with_sql
 from gneiss.plans.tables import table
+from gneiss.sources import registry
 
 
 def s_latest_jobs(s: SparkSession, d: str) -> DataFrame:
@@ -107,14 +108,42 @@ def q_merge_payloads(s: SparkSession, d: str) -> DataFrame:
     return symbols.merge_payloads(hits("lexer", 2.0, "by name"), hits("load", 1.0, "by part").unionByName(hits("lexer", 1.5, "by part")), 60).withColumn("score", F.round("score", 6))
 
 
+def s_vector_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Vectors are keyed by record and version: new ones replace those of both keys only."""
+    e = table(s, d, "embeddings").select("vec_id", (F.col("label") % 3).alias("version"), "label")
+    old = e.filter("vec_id % 2 = 0").select("vec_id", "version", F.lit("old").alias("origin"))
+    new = e.filter("vec_id % 3 = 0").select("vec_id", F.when(F.col("vec_id") % 4 == 0, F.col("version")).otherwise(F.col("version") + 10).alias("version"), F.lit("new").alias("origin"))
+    return upkeep.upsert(old, new, ["vec_id", "version"])
+
+
+def q_many_topk(s: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every twentieth vector among all, by inner product; the score is the negative distance."""
+    e = table(s, d, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("node"), F.col("embedding").cast("array<double>").alias("vec"), "vec_id")
+    near = vectors.nearest_vectors(e, 5, e.filter("vec_id % 20 = 0"))
+    return near.select("node", "neighbour", F.round(F.col("sim") - 1, 6).alias("score"), "rank")
+
+
+def s_index_status(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents").filter("repo is not null and commit_hash is not null")
+    named = docs.groupBy(upkeep.slug("repo", "commit_hash").alias("slug")).agg(F.min("doc_id").alias("i"))
+    registered = named.filter("i % 3 > 0").select("slug", F.when(F.col("i") % 2 == 0, "ready").otherwise("building").alias("status"), (F.col("i") % 5 > 1).alias("db_exists"))
+    return registry.statuses(named.select("slug", (F.col("i") % 7 > 2).alias("computed_exists")), registered)
+
+
 QUERIES = {f.__name__: f for f in (
     s_latest_jobs, s_check_jobs, s_messages, f_progress, j_routes, a_status_counts, f_commits, w_first_path, p_snapshot, p_snippet, p_version_filter, u_unmatched, u_shared_symbols, f_graded_gain, f_intent_tags, f_globs,
-    q_merge_payloads,
+    q_merge_payloads, s_vector_upsert, q_many_topk, s_index_status,
 )}
 
 _SLUG = "trim(regexp_replace(lower(trim(repo)), '[^a-z0-9]+', '-', 'g'), '-') || '-' || substr(lower(commit_hash), 1, 8)"
 
 ORACLES = {
+    "s_vector_upsert": """with e as (select vec_id, label % 3 as version from embeddings), n as (select vec_id, (case when vec_id % 4 = 0 then version else version + 10 end)::int as version from e where vec_id % 3 = 0)
+      select vec_id, version, 'old' as origin from e where vec_id % 2 = 0 and (vec_id, version) not in (select (vec_id, version) from n) union all select vec_id, version, 'new' from n""",
+    "q_many_topk": """select node, neighbour, round(sim - 1, 6) as score, r::int as rank from (select lpad(x.vec_id::varchar, 9, '0') as node, lpad(y.vec_id::varchar, 9, '0') as neighbour, round(list_inner_product(x.embedding::double[], y.embedding::double[]), 9) as sim,
+      row_number() over (partition by x.vec_id order by round(list_inner_product(x.embedding::double[], y.embedding::double[]), 9) desc, y.vec_id) as r from embeddings x join embeddings y on x.vec_id <> y.vec_id where x.vec_id % 20 = 0) where r <= 5""",
+    "s_index_status": f"""with n as (select {_SLUG} as slug, min(doc_id) as i from documents where repo is not null and commit_hash is not null group by 1)
+      select slug, case when i % 3 > 0 and i % 5 > 1 and i % 2 = 0 then 'ready' when i % 3 > 0 and i % 5 <= 1 then 'stale_metadata' when i % 7 > 2 then 'db_only' else 'missing' end as status from n""",
     "s_latest_jobs": "select event_id as job_id, event_type from events order by ts desc, event_id desc limit 25",
     "s_check_jobs": """with l as (select user_id as job_id, ts, case event_type when 'error' then 'failed' when 'purchase' then 'succeeded' when 'view' then 'queued' else 'running' end as state from events),
       p as (select *, lag(state) over (partition by job_id order by ts, state) as b from l),

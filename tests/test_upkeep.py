@@ -67,3 +67,17 @@ def test_small_functions(spark):
     p = spark.createDataFrame([("x", 1.0, "", "one"), ("y", 5.0, "py", "")], "result_id string, score double, payload string, explain string")
     f = spark.createDataFrame([("x", 2.0, "px", "two")], p.schema)
     assert [tuple(r) for r in symbols.merge_payloads(p, f, 5).collect()] == [("y", 5.0, "py", ""), ("x", 2.0, "px", "one; two")]
+
+
+def test_registry_file(spark, tmp_path):
+    from gneiss.sources import registry
+
+    path = str(tmp_path / "r" / "index.json")
+    assert registry.load(path) == [] and not registry.remove("a", path)
+    for slug, status in (("b", "ready"), ("a", "building"), ("b", "failed"), ("c", "ready")):
+        registry.put({"slug": slug, "status": status, "mcp_path": f"/{slug}/"}, path)
+    assert [(e["slug"], e["status"]) for e in registry.load(path)] == [("a", "building"), ("b", "failed"), ("c", "ready")]
+    assert registry.remove("a", path) and registry.frame(spark, path).count() == 2
+    conf = registry.gateway(registry.load(path), 80, 9000)
+    assert "location /c {" in conf and "127.0.0.1:9000" in conf and "/b" not in conf
+    assert [x.name for x in (tmp_path / "r").iterdir()] == ["index.json"]
