@@ -281,7 +281,7 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     members, links = runtime.materialise(members, "members"), runtime.materialise(links.select("a", "b"), "links")
     sizes = members.groupBy(F.col("rep")).agg(F.count("*").alias("size"))
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    partners = both.join(sizes.select(F.col("rep").alias("b"), "size"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("partners"))
+    partners = runtime.join_salted(both, sizes.select(F.col("rep").alias("b"), "size"), ["b"], ["a"]).groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("partners"))
     groups = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
     least = members.groupBy("rep").agg(F.min("id").alias("class_id"))
     classes = (
@@ -291,4 +291,5 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("rep", "class_id", F.coalesce("group_id", "rep").alias("part"), (F.col("size") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
     )
     named = classes.groupBy("part").agg(F.min("class_id").alias("group_id"))
-    return members.join(classes.join(named, "part"), "rep").select(F.col("id").alias("doc_id"), "class_id", "group_id", "n_links")
+    grouped = runtime.join_salted(classes, named, ["part"], ["rep"])
+    return runtime.join_salted(members, grouped, ["rep"], ["id"]).select(F.col("id").alias("doc_id"), "class_id", "group_id", "n_links")

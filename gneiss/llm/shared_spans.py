@@ -256,7 +256,8 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct("rec", "id", "start", "width")
     known = runs.groupBy("run", "anchor").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.min(place).alias("at"))
     known = runtime.materialise(known.select("run", "anchor", "lo", "hi", (F.col("lo") < F.col("hi")).alias("many"), "at.*"), "known")
-    kept = runtime.join_salted(runs, known.filter("many").select("run", "anchor"), ["run", "anchor"], ["rec", "start"], "left_semi").select("rec", "start", "width")
+    heavy = runtime.heavy_keys(runs, ["run", "anchor"])
+    kept = runtime.join_heavy(runs, known.filter("many").select("run", "anchor"), ["run", "anchor"], ["rec", "start"], heavy, "left_semi").select("rec", "start", "width")
     # Anchors that two records have, and among whose runs one is not shared whole.
     anchors = known.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"), F.min("many").alias("all")).filter("lo < hi and not all").select("anchor", "n")
     broken = runtime.join_salted(known.drop("lo", "hi"), anchors, ["anchor"], ["run"])
@@ -266,7 +267,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single = runtime.join_salted(apart.filter("not many"), met, ["key"], ["run", "start"], "left_semi").select("run", "anchor", "start", "width")
     # Back to every place of a run.
     found = single.unionByName(_compared(opened, span)).select("run", "anchor", F.col("start").alias("inner"), F.col("width").alias("part"))
-    everywhere = runs.join(found, ["run", "anchor"]).select("rec", (F.col("start") + F.col("inner")).alias("start"), F.col("part").alias("width"))
+    everywhere = runtime.join_heavy(runs, found, ["run", "anchor"], ["rec", "start"], heavy).select("rec", (F.col("start") + F.col("inner")).alias("start"), F.col("part").alias("width"))
     covered = _merged(kept.unionByName(everywhere).distinct(), span)
     firsts = records.join(copies.select("rec"), "rec", "left_anti").select("rec", "id")
     return firsts.join(covered, "rec").select(F.col("id").alias("doc_id"), "start", "length").unionByName(copied)
