@@ -8,8 +8,8 @@ and generated folders, lock files and the suffixes of generated and minified fil
 
 Strong signs decide alone: notices, unambiguous paths, dense long lines, opaque data.  Weak signs decide only with a
 second one: stamped lines with a table of numbers or a folder like ``gen``; an ambiguous folder like ``external`` with a banner of
-name and version, or with the name of a project that some record of the collection has in an unambiguous place
-(``node_modules``, ``vendor``, ...).  For the last, the few candidates are joined with the names found by the same pass.  Lines of one
+name and version, with a declared package of the project it is named after, or with the name of a project that some record of the
+collection has in an unambiguous place (``node_modules``, ``vendor``, ..., a notice of a copy).  For the last, the few candidates are joined with the names found by the same pass.  Lines of one
 form alone - constants, accessors, assertions - are no evidence.
 
 ``kind`` is the first that applies of: generated, third_party (by notice), generated, minified, third_party (by path), minified,
@@ -79,6 +79,10 @@ _DECLARATION = re.compile(r"\s*(?:package|import|from|use|using|namespace|module
 _LINE_COMMENT = re.compile(r"\s*(?://|#(?!\s*(?:include|define|pragma|if))|--|;|\*|%)")
 _BANNER = re.compile(r"[\W_]*([a-z][\w.-]+)[ @]v?\d+\.\d+(?:\.\d+)*\b", re.I)
 
+#: The project that a notice of a copy names.
+_ORIGIN = re.compile(r"(?:\b(?:copy of|from)(?: the)?|upstream:|\(c\) \d+)\s+([\w-]+)")
+_PACKAGE = re.compile(r"^\s*(?:package|namespace)\s+([\w.]+)", re.M)
+
 _IDENT = re.compile(r"[^\W\d][\w$]*")
 _NUMBER = re.compile(r"-?\b(0x[0-9a-fA-F]+|\d[\d_.]*\w*)")
 _SEPARATE = re.compile(r"[^\s\w$]")
@@ -142,8 +146,8 @@ def edges(text: str) -> tuple[int, int]:
     return header, trailer
 
 
-def notice(text: str) -> str | None:
-    """The kind of the first notice by form, or None."""
+def notice(text: str) -> tuple[str | None, str | None]:
+    """The kind of the first notice by form and the project that it names, if any."""
     automaton, forms = _automaton()
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length
@@ -159,9 +163,10 @@ def notice(text: str) -> str | None:
         line = low[begin : stop if stop >= 0 else len(low)].rstrip()
         for i in numbers:
             if forms[i].match(line):
-                return NOTICES[i][2]
+                named = _ORIGIN.search(line) if NOTICES[i][2] == "third_party" else None
+                return NOTICES[i][2], named[1] if named else None
     marks = LINE_MARK.finditer(low)
-    return "generated" if next(marks, None) and next(marks, None) else None
+    return ("generated" if next(marks, None) and next(marks, None) else None), None
 
 
 def line_form(line: str) -> str:
@@ -213,10 +218,14 @@ def formed(text: str) -> str | None:
     return None
 
 
-def has_banner(text: str) -> bool:
-    """Whether a comment of the header begins with a name and a version."""
-    head = text[: edges(text)[0]]
-    return any(_LINE_COMMENT.match(x.lstrip("﻿")) and _BANNER.match(x) for x in head.splitlines()) or bool(re.match(r"[﻿\s]*/\*+!?\s*" + _BANNER.pattern, head + text[len(head) : len(head) + 1], re.I))
+def banner(text: str) -> str | None:
+    """The name in a comment of the header that begins with a name and a version."""
+    end = edges(text)[0]
+    whole = re.match(r"[﻿\s]*/\*+!?\s*" + _BANNER.pattern, text[: end + 200], re.I)
+    if whole:
+        return whole[1].lower()
+    lines = (x.lstrip("﻿") for x in text[:end].splitlines())
+    return next((m[1].lower() for x in lines if _LINE_COMMENT.match(x) and (m := _BANNER.match(x))), None)
 
 
 def project_of(folder: str) -> str | None:
@@ -225,6 +234,13 @@ def project_of(folder: str) -> str | None:
     return None if not name or SOURCE_ROOT.search(name + "/") or re.search(r"\.\w{1,4}$", name) else name
 
 
+def own_package(path: str, folder: re.Match, text: str) -> bool:
+    """Whether a file outside of any source root declares a package of the project that its folder is named after."""
+    name = project_of(folder["name"])
+    found = _PACKAGE.search(text)
+    return bool(name and found and name in found[1].lower().split(".") and not SOURCE_ROOT.search(path[: folder.start("name")]))
+
+
 def path_kind(path: str | None) -> str | None:
     """What an unambiguous path alone shows."""
     path = path or ""
@@ -241,10 +257,10 @@ def judge(path: str | None, text: str | None, language: str | None = None) -> tu
     path, text = path or "", text or ""
     folder = VENDORED_PATH.search(path)
     sure = folder is not None and not SOURCE_ROOT.search(path[: folder.start() + 1])
-    outside = project_of(folder["name"]) if sure else None
     maybe = MAYBE_VENDORED_PATH.match(path)
-    kind = notice(text) or path_kind(path)
-    if kind is None and maybe and (VERSION.search(maybe["name"]) or has_banner(text)):
+    kind, named = notice(text)
+    kind = kind or path_kind(path)
+    if kind is None and maybe and (VERSION.search(maybe["name"]) or banner(text) or own_package(path, maybe, text)):
         kind = "third_party"
     if kind is None and not ((language or "").strip().lower() in ("markdown", "md") or PROSE_PATH.search(path)):
         kind = dense(text) or formed(text)
@@ -252,6 +268,7 @@ def judge(path: str | None, text: str | None, language: str | None = None) -> tu
             kind = "generated"
         if kind is None and BUNDLE_PATH.search(path) and len(text) > 150 * (text.count("\n") + 1):
             kind = "minified"
+    outside = project_of(folder["name"]) if sure else named or (banner(text) if kind in ("minified", "third_party") else None)
     return kind, outside, project_of(maybe["name"]) if kind is None and maybe else None
 
 

@@ -37,10 +37,14 @@ CASES = [
     ("src/P.java", "class P {\n" + "".join(f"    public int getField{i}() {{\n        return field{i};\n    }}\n" for i in range(12)) + "}\n", None),
     ("tests/test_a.py", "def test_a():\n" + "".join(f"    assert f({i}) == {i * i}\n" for i in range(12)), None),
     ("app/deps/resolve.py", CODE, None),
-    ("extern/mylib/a.c", CODE, None),
+    ("extern/ownlib/a.c", CODE, None),
     ("extern/lib/a.c", CODE, None),
     ("extern/mylib-1.2.3/a.c", CODE, "third_party"),
     ("extern/mylib/a.c", "/* mylib 1.2.3 */\n" + CODE, "third_party"),
+    ("extern/orglib/A.java", "package org.orglib.io;\n" + CODE, "third_party"),
+    ("src/main/java/acme/deps/resolver/A.java", "package acme.deps.resolver;\n" + CODE, None),
+    ("contrib/named/a.ts", CODE, "third_party"),
+    ("lib/b.ts", "// Vendored copy of named 3.1.0, see upstream.\n" + CODE, "third_party"),
     ("extern/zlibx/a.c", CODE, "third_party"),
     ("vendor/zlibx/b.c", CODE, "third_party"),
     ("web/package-lock.json", "{}", "generated"),
@@ -60,7 +64,7 @@ CASES = [
 
 @pytest.mark.parametrize("path, text, kind", CASES)
 def test_cases(path, text, kind):
-    assert h.classify(path, text, "java", frozenset({"zlibx"})) == kind
+    assert h.classify(path, text, "java", frozenset({"zlibx", "named"})) == kind
 
 
 def test_operator(spark):
