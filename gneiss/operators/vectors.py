@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,47 +64,41 @@ def nearest_vectors(vectors: DataFrame, k: int = 20, queries: DataFrame | None =
     asking = every if queries is None else runtime.materialise(queries.filter("node is not null and vec is not null").select(*wanted), "queries")
 
     def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-        n = rows.count()
+        """One block per range of ids, numbered by it, and the number of ranges."""
+        ranges = max(1, -(-rows.count() // size))
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: tuple[list, list, list] = ([], [], [])
-
-            def block(n: int) -> pa.RecordBatch:
-                nodes, vecs, prefixes = (x[:n] for x in held)
-                for x in held:
-                    del x[:n]
-                columns = [pa.array([nodes[0]], pa.string()), pa.array([nodes], pa.list_(pa.string())), *(pa.array([np.array(x, t).tobytes()], pa.binary()) for x, t in ((vecs, np.float64), (prefixes, np.int64)))]
-                return pa.RecordBatch.from_arrays(columns, names=["first", "nodes", "data", "prefixes"])
-
-            for batch in batches:
-                for x, column in zip(held, batch.columns, strict=True):
-                    x += column.to_pylist()
-                while len(held[0]) >= size:
-                    yield block(size)
-            if held[0]:
-                yield block(len(held[0]))
-
-        ordered = rows.repartitionByRange(max(1, -(-n // size)), "node").sortWithinPartitions("node")
-        return runtime.materialise(ordered.mapInArrow(pack, "first string, nodes array<string>, data binary, prefixes binary"), "blocks"), n
+            held = [b for b in batches if b.num_rows]
+            if held:
+                nodes, vecs, prefixes = (c.to_pylist() for c in pa.Table.from_batches(held).columns)
+                columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([nodes[0]], pa.string()), pa.array([nodes], pa.list_(pa.string())), *(pa.array([np.array(x, t).tobytes()], pa.binary()) for x, t in ((vecs, np.float64), (prefixes, np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["no", "first", "nodes", "data", "prefixes"])
+
+        ordered = rows.repartitionByRange(ranges, "node").sortWithinPartitions("node")
+        return runtime.materialise(ordered.mapInArrow(pack, "no int, first string, nodes array<string>, data binary, prefixes binary"), "blocks"), ranges
 
     blocks, n = packed(asking, QUERY_BLOCK)
     payload = ["first", "nodes", "data", "prefixes"]
-    asked = blocks.select(F.col("first").alias("q"), F.lit(0).alias("role"), *payload)
-    met = packed(every, BLOCK)[0].crossJoin(blocks.select(F.col("first").alias("q"))).select("q", F.lit(1).alias("role"), *payload)
+    asked = blocks.select(F.col("no").alias("q"), F.lit(0).alias("role"), *payload)
+    # Every block goes to every range of queries: the product of the two numbers of blocks, never of rows.
+    met = packed(every, BLOCK)[0].select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q"), F.lit(1).alias("role"), *payload)
     # Without a number of partitions small blocks would be put together in one task.
-    width = max(1, min(-(-n // QUERY_BLOCK), runtime.shuffle_width(vectors.sparkSession)))
+    width = max(1, min(n, runtime.shuffle_width(vectors.sparkSession)))
     ordered = asked.unionByName(met).repartition(width, "q").sortWithinPartitions("q", "role", "first")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: _Best | None = None
+        held, at = None, -1
         for batch in batches:
             for i in range(batch.num_rows):
+                q = batch.column(0)[i].as_py()
+                if batch.column(1)[i].as_py() and q != at:
+                    continue  # no queries in this range of ids
                 nodes = np.array(batch.column(3)[i].as_py(), object)
                 data, prefixes = (np.frombuffer(batch.column(c)[i].as_py(), t).reshape(len(nodes), -1) for c, t in ((4, np.float64), (5, np.int64)))
                 if batch.column(1)[i].as_py() == 0:
                     if held is not None:
                         yield held.rows()
-                    held = _Best(nodes, data, prefixes, k, (cosine, prior, clip, digits))
+                    held, at = _Best(nodes, data, prefixes, k, (cosine, prior, clip, digits)), q
                 else:
                     held.meet(nodes, data, prefixes)
         if held is not None:
