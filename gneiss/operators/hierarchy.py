@@ -26,6 +26,12 @@ from pyspark.sql import functions as F
 from gneiss import runtime
 
 _LINK = ["node", "parent", "length", "between"]
+#: Rows that a task of a round should at least have; a round with fewer is one task and shuffles nothing.
+TASK_ROWS = 50_000
+
+
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    return rows.coalesce(1) if n <= TASK_ROWS else rows
 
 
 def latest_links(table: DataFrame, id_col: str = "symbol_id", parent_col: str = "enclosing_symbol", time_col: str = "ingested_at") -> DataFrame:
@@ -86,18 +92,21 @@ def hierarchy(nodes: DataFrame, paths: bool = True, heavy_rows: int = runtime.HE
     heavy = runtime.heavy_keys(named, ["parent"], heavy_rows)
     links = runtime.join_heavy(named, nodes.select(F.col("node").alias("parent")).distinct(), ["parent"], ["node"], heavy, "left_semi")
     live = runtime.materialise(links.select("node", "parent", F.lit(1).cast("long").alias("length"), F.array().cast("array<string>").alias("between"), F.lit(paths).alias("kept")), "links")
-    records: list[DataFrame] = []
-    while live.filter("node <> parent").limit(1).count():
-        after = runtime.materialise(_contract(live, len(records)), "round")
-        records.append(after)
+    records: list[tuple[DataFrame, int]] = []
+    while True:
+        size = live.agg(F.count("*").alias("n"), F.sum((F.col("node") != F.col("parent")).cast("long")).alias("open")).first()
+        if not size["open"]:
+            break
+        after = runtime.materialise(_contract(_sized(live, size["n"]), len(records)), "round")
+        records.append((after, size["n"]))
         live = after.filter("gone is null").drop("gone")
     parts = [runtime.materialise(live.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")), "done")]
-    for after in reversed(records):
-        # Of one round, the nodes raked hang below those bypassed or below older ones.
-        done = reduce(DataFrame.unionByName, parts)
-        bypassed, raked = (after.filter(F.col("gone") == how).drop("gone") for how in ("bypassed", "raked"))
+    for after, n in reversed(records):
+        # Of one round, the nodes raked hang below those bypassed or below older ones; what is done so far are the links it left.
+        done = _sized(reduce(DataFrame.unionByName, parts), n)
+        bypassed, raked = (_sized(after.filter(F.col("gone") == how).drop("gone"), n) for how in ("bypassed", "raked"))
         back = _undo(bypassed, done, heavy)
-        parts.append(runtime.materialise(back.unionByName(_undo(raked, done.unionByName(back), heavy)), "done"))
+        parts.append(runtime.materialise(back.unionByName(_undo(raked, _sized(done.unionByName(back), n), heavy)), "done"))
     done = reduce(DataFrame.unionByName, parts)
     linked = done.select("node", "root", "depth", F.when(F.lit(paths), F.col("path")).alias("path"), F.col("root").isNull().alias("in_loop"))
     roots = nodes.filter("node is not null").select("node").join(done.select("node"), "node", "left_anti")
