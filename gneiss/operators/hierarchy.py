@@ -18,8 +18,6 @@ chooses the row (``latest_links``); extra columns are ignored; empty tables give
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,14 +98,15 @@ def hierarchy(nodes: DataFrame, paths: bool = True, heavy_rows: int = runtime.HE
         after = runtime.materialise(_contract(_sized(live, size["n"]), len(records)), "round")
         records.append((after, size["n"]))
         live = after.filter("gone is null").drop("gone")
-    parts = [runtime.materialise(live.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")), "done")]
+    done = runtime.materialise(live.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")), "done")
     for after, n in reversed(records):
         # Of one round, the nodes raked hang below those bypassed or below older ones; what is done so far are the links it left.
-        done = _sized(reduce(DataFrame.unionByName, parts), n)
+        # The whole is written anew each time, so plans stay small; the sizes grow like a geometric series.
+        old = _sized(done, n)
         bypassed, raked = (_sized(after.filter(F.col("gone") == how).drop("gone"), n) for how in ("bypassed", "raked"))
-        back = _undo(bypassed, done, heavy)
-        parts.append(runtime.materialise(back.unionByName(_undo(raked, _sized(done.unionByName(back), n), heavy)), "done"))
-    done = reduce(DataFrame.unionByName, parts)
+        back = _undo(bypassed, old, heavy)
+        known = _sized(old.unionByName(back), n)
+        done = runtime.materialise(known.unionByName(_undo(raked, known, heavy)), "done")
     linked = done.select("node", "root", "depth", F.when(F.lit(paths), F.col("path")).alias("path"), F.col("root").isNull().alias("in_loop"))
     roots = nodes.filter("node is not null").select("node").join(done.select("node"), "node", "left_anti")
     own = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), (F.array("node") if paths else F.lit(None).cast("array<string>")).alias("path"), F.lit(False).alias("in_loop"))
